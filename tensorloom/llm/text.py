@@ -117,13 +117,10 @@ def line_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Start, end and text index of each line; newline ends a line, an empty text has none."""
     full = np.flatnonzero(offs[1:] > offs[:-1])
     ends = np.flatnonzero(buf == 10)
-    cuts = np.concatenate([ends, offs[full + 1]])
-    begins = np.concatenate([offs[full], ends + 1])
-    cuts.sort(kind="stable")
-    begins.sort(kind="stable")
-    # a newline as a text's last byte opens a last, empty line, as splitting at newlines does
-    order = np.searchsorted(offs, cuts, "left") - 1
-    doc = np.where(cuts < offs[-1], np.searchsorted(offs, cuts, "right") - 1, order)
+    doc = np.concatenate([np.searchsorted(offs, ends, "right") - 1, full])
+    cuts, begins = np.concatenate([ends, offs[full + 1]]), np.concatenate([ends + 1, offs[full]])
+    by = np.lexsort((cuts, doc))  # a newline as a text's last byte opens a last, empty line
+    cuts, begins, doc = cuts[by], begins[np.lexsort((begins, doc))], doc[by]
     return begins, cuts, doc
 
 

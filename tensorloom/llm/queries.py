@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorloom.llm import decontamination, line_dedup, sentencepiece_codec, substring_dedup, token_counts
+from tensorloom.llm import decontamination, line_dedup, ngram_jaccard, sentencepiece_codec, substring_dedup, token_counts
 
 
 def tokenizer(name: str) -> str:
@@ -27,6 +27,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.linked_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,5 +43,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op5_sentencepiece, op7_decontamination, op8_substring_dedup, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op5_sentencepiece, op6_ngram_jaccard, op7_decontamination, op8_substring_dedup, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.SQL, "op10_line_dedup": line_dedup.SQL}

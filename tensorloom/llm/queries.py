@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorloom.llm import decontamination, line_dedup, ngram_jaccard, sentencepiece_codec, substring_dedup, token_counts
+from tensorloom.llm import decontamination, line_dedup, ngram_jaccard, quality, sentencepiece_codec, substring_dedup, token_counts, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -23,6 +23,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -43,5 +53,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op5_sentencepiece, op6_ngram_jaccard, op7_decontamination, op8_substring_dedup, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality, op4_toxicity, op5_sentencepiece, op6_ngram_jaccard, op7_decontamination, op8_substring_dedup, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.SQL, "op10_line_dedup": line_dedup.SQL}

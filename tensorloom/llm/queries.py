@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorloom.llm import decontamination, line_dedup, ngram_jaccard, quality, sentencepiece_codec, substring_dedup, token_counts, toxicity
+from tensorloom.llm import ann, decontamination, line_dedup, ngram_jaccard, quality, sentencepiece_codec, substring_dedup, token_counts, toxicity, warc
 
 
 def tokenizer(name: str) -> str:
@@ -28,6 +28,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -49,9 +53,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality, op4_toxicity, op5_sentencepiece, op6_ngram_jaccard, op7_decontamination, op8_substring_dedup, op10_line_dedup)}
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.SQL, "op10_line_dedup": line_dedup.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_warc, op4_toxicity, op5_sentencepiece, op6_ngram_jaccard, op7_decontamination, op8_substring_dedup, op9_ann, op10_line_dedup)}
+ORACLE_SQL: dict[str, str] = {"op3_warc": warc.SQL, "op7_decontamination": decontamination.SQL, "op10_line_dedup": line_dedup.SQL}

@@ -75,8 +75,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     return fit([(order[i][0], np.frombuffer(order[i][1], "<i4").astype(np.int64)) for i in by])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs``."""
+def scorer(model: tuple[np.ndarray, np.ndarray]):
+    """A function from a chunk's bytes and offsets to scores."""
     numbers, weights = model
 
     def run(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -88,4 +88,21 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         w = weights[np.searchsorted(numbers, key % DIMENSIONS)] if len(key) else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(np.bincount(key // DIMENSIONS, w, len(offs) - 1), -35, 35)))
 
-    return scored(docs, run, remainder(F.col("doc_id"), 5) == 0)
+    return run
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of ``docs``."""
+    return scored(docs, scorer(model), remainder(F.col("doc_id"), 5) == 0)
+
+
+def accepted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below 0.5 or have no text; one map."""
+    of = scorer(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, buf, offs in tx.chunks(batches, "text", 4 << 20):
+            stay = pa.array((of(buf, offs) < 0.5) | (np.diff(offs) == 0))
+            yield from table.filter(stay).to_batches()
+
+    return docs.mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm import text as tx
 from tensorloom.llm.graph import checkpointed, components
-from tensorloom.llm.repeats import bucket_count, cut_binary, pack, pack_small, unpack, unpack_small
+from tensorloom.llm.repeats import SLOT, bucket_count, cut_binary, from_slots, pack, pack_small, to_slots, unpack, unpack_small
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 BITS, GROUP, FANOUT = 2048, 2048, 8
@@ -80,34 +80,56 @@ def _blocks(buckets: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """A bucket's hashes that more than one document has, dealt back by document; documents' own rows as they are."""
-    out, hashes, ids = [], [], []
-    none = pa.nulls
+#: Sizes and sums travel to a document's slot as three values of these kinds beside its shared hashes (kind 0).
+KINDS = 3
+
+
+def _shared(table: pa.Table, slots: int) -> pa.Table:
+    """A bucket's hashes that more than one document has, dealt back to slots of documents, with documents' own rows."""
+    out_ids, out, hashes, ids = [], [], [], []
     for n, i, h, d, s in zip(*(c.combine_chunks() for c in table.columns[1:]), strict=True):
         n, i = n.as_py(), np.frombuffer(i.as_py(), np.int64)
         if n:
             hashes.append(unpack(h.as_py()))
             ids.append(i[unpack_small(d.as_py(), n)])
         else:
-            x = np.frombuffer(s.as_py(), np.uint64).view(np.int64).reshape(3, -1)
-            out.append(pa.table([pa.array(i), *map(pa.array, x), none(len(i), pa.binary())], names=["id", "n", "s1", "s2", "toks"]))
+            # a marker and three values, in this order, for each document: no shared hash is 0, as its scale is 8 at least
+            own = np.concatenate([np.zeros((1, len(i)), np.uint64), np.frombuffer(s.as_py(), np.uint64).reshape(KINDS, -1)])
+            out_ids.append(np.repeat(i, KINDS + 1))
+            out.append(own.T.ravel())
     if hashes:
         h, i = np.concatenate(hashes), np.concatenate(ids)
+        del hashes, ids
         order = np.argsort(h)
         h, i = h[order], i[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         df = np.diff(np.r_[first, len(h)])
         scale = np.minimum(255, 8 * np.log2(df)).astype(np.uint64)
         many = np.repeat(df > 1, df)
-        tok = np.repeat(scale << np.uint64(56), df)[many] | h[many]
-        i = i[many]
-        order = np.argsort(i, kind="stable")
-        tok, i = tok[order], i[order]
-        cuts = np.flatnonzero(np.r_[True, np.diff(i) != 0, True]) if len(i) else np.zeros(1, np.int64)
-        k = len(cuts) - 1
-        out.append(pa.table([pa.array(i[cuts[:-1]], pa.int64()), *(none(k, pa.int64()) for _ in range(3)), cut_binary(tok, cuts)], names=["id", "n", "s1", "s2", "toks"]))
-    return pa.concat_tables(out)
+        out.append(np.repeat(scale << np.uint64(56), df)[many] | h[many])
+        out_ids.append(i[many])
+    return to_slots(np.concatenate(out_ids), np.concatenate(out), slots)
+
+
+def _documents(table: pa.Table) -> pa.Table:
+    """A slot's documents: id, size and sums of the set, and its shared hashes if they are 0.8 of it at least."""
+    ids, values = from_slots(table, "<u8")
+    order = np.argsort(ids, kind="stable")
+    ids, values = ids[order], values[order]
+    cuts = np.flatnonzero(np.r_[True, np.diff(ids) != 0, True]) if len(ids) else np.zeros(1, np.int64)
+    rows: list[tuple] = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        mine = values[a:b]
+        # rows that share an id: the last one's own values, all their hashes
+        at = np.flatnonzero(mine == 0)
+        at = at[np.r_[True, np.diff(at) > KINDS]] if len(at) else at
+        own = mine[at[-1] + 1 : at[-1] + 1 + KINDS]
+        toks = np.unique(np.delete(mine, (at[:, None] + np.arange(KINDS + 1)).ravel()))
+        n = int(own[0])
+        near = n > 0 and len(toks) * DENOMINATOR >= n * NUMERATOR
+        rows.append((int(ids[a]), n, int(own[1].astype(np.int64)), int(own[2].astype(np.int64)), toks.tobytes() if near else None))
+    kinds = (pa.int64(),) * 4 + (pa.binary(),)
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["id", "n", "s1", "s2", "toks"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,20 +220,12 @@ def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id_col, n_shingles, component_id (the smallest id reachable by links, its own included)."""
     slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    blocks = slim.where("id is not null").mapInArrow(_blocks(bucket_count(docs, text_col)), BLOCK)
-    dealt = blocks.groupBy("bucket").applyInArrow(_shared, "id long, n long, s1 long, s2 long, toks binary")
-
-    @F.pandas_udf("binary")
-    def merged(parts):
-        import pandas as pd
-
-        return pd.Series([np.sort(np.frombuffer(b"".join(p), np.uint64)).tobytes() for p in parts], dtype=object)
-
-    per = dealt.groupBy("id").agg(F.max("n").alias("n"), F.max("s1").alias("s1"), F.max("s2").alias("s2"), F.collect_list("toks").alias("parts"))
-    near = F.expr("n > 0") & (F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p)) / 8 * DENOMINATOR >= F.col("n") * NUMERATOR)
-    all_docs = checkpointed(per.select("id", "n", "s1", "s2", F.when(near, F.col("parts")).alias("parts")))
-    classes = all_docs.where("parts is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    sets = checkpointed(all_docs.join(classes.select("rep"), F.col("id") == F.col("rep"), "left_semi").select(F.col("id").alias("rep"), "n", merged("parts").alias("toks")))
+    slots = bucket_count(docs, text_col)
+    blocks = slim.where("id is not null").mapInArrow(_blocks(slots), BLOCK)
+    dealt = blocks.groupBy("bucket").applyInArrow(lambda t: _shared(t, slots), SLOT)
+    all_docs = checkpointed(dealt.groupBy("slot").applyInArrow(_documents, "id long, n long, s1 long, s2 long, toks binary"))
+    classes = all_docs.where("toks is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
+    sets = checkpointed(all_docs.join(classes.select("rep"), F.col("id") == F.col("rep"), "left_semi").select(F.col("id").alias("rep"), "n", "toks"))
     rows = sets.mapInArrow(_prefixes, "rep long, n long, tok long")
     count = rows.groupBy("tok").agg(F.count("*").alias("members"), F.min("rep").alias("head"), F.min("n").alias("least"), F.max("n").alias("most")).where("members > 1")
     groups = checkpointed(rows.join(count, "tok"))

@@ -133,8 +133,8 @@ def _blocks(units: Units, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _bucket(table: pa.Table) -> pa.Table:
-    """All blocks of a bucket: (id, starts) of the windows that occur earlier, and the chunks' own repeats as they are."""
+def _bucket(table: pa.Table, slots: int) -> pa.Table:
+    """All blocks of a bucket: the windows that occur earlier, and the chunks' own repeats, dealt to slots of documents."""
     cols = [c.combine_chunks() for c in table.columns[1:]]
     hashes, doc_ids, starts, out_ids, out_starts = [], [], [], [], []
     for n, ids, bounds, h, at in zip(*cols, strict=True):
@@ -161,32 +161,63 @@ def _bucket(table: pa.Table) -> pa.Table:
         out_ids.append(doc[late])
         out_starts.append(start[late].astype(np.int64))
     ids, starts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_ids, out_starts))
+    return to_slots(ids, starts.astype("<u4"), slots)
+
+
+def to_slots(ids: np.ndarray, values: np.ndarray, slots: int) -> pa.Table:
+    """(slot, ids, counts, data): values by document, one packed row for each slot that documents are dealt to."""
+    slot = (tx.mix(ids.astype(np.uint64)) % np.uint64(slots)).astype(np.int64)
+    order = np.lexsort((ids, slot))
+    ids, values, slot = ids[order], values[order], slot[order]
+    heads = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (slot[1:] != slot[:-1])]) if len(ids) else np.zeros(0, np.int64)
+    counts = np.diff(np.r_[heads, len(ids)])
+    tops = np.flatnonzero(np.r_[True, np.diff(slot[heads]) != 0]) if len(heads) else np.zeros(0, np.int64)
+    cuts = np.r_[tops, len(heads)]
+    return pa.table({
+        "slot": pa.array(slot[heads][tops], pa.int32()), "ids": cut_binary(ids[heads], cuts), "counts": cut_binary(counts.astype("<u4"), cuts),
+        "data": cut_binary(values, np.r_[heads, len(ids)][cuts]),
+    })
+
+
+def from_slots(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Document and value of everything that rows of ``to_slots`` hold."""
+    ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4")
+    return np.repeat(ids, counts), np.frombuffer(b"".join(table.column("data").to_pylist()), kind)
+
+
+SLOT = "slot int, ids binary, counts binary, data binary"
+
+
+def _slot(table: pa.Table) -> pa.Table:
+    ids, starts = from_slots(table, "<u4")
     order = np.argsort(ids, kind="stable")
     ids, starts = ids[order], starts[order]
     cuts = np.flatnonzero(np.r_[True, np.diff(ids) != 0, True]) if len(ids) else np.zeros(1, np.int64)
-    return pa.table({"id": pa.array(ids[cuts[:-1]], pa.int64()), "starts": cut_binary(starts.astype("<u4"), cuts)})
+    return pa.table({"id": pa.array(ids[cuts[:-1]], pa.int64()), "starts": cut_binary(starts, cuts)})
 
 
 def repeated_starts(docs: DataFrame, units: Units, id_col: str, text_col: str) -> DataFrame:
     """(id, starts): for each document with any, the unit numbers where windows begin that also begin earlier, packed."""
     slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id is not null and text is not null")
-    blocks = slim.mapInArrow(_blocks(units, bucket_count(docs, text_col)), "bucket int, n long, ids binary, bounds binary, hashes binary, places binary")
-    found = blocks.groupBy("bucket").applyInArrow(_bucket, "id long, starts binary")
-    return found.groupBy("id").agg(F.collect_list("starts").alias("starts"))
+    n = bucket_count(docs, text_col)
+    blocks = slim.mapInArrow(_blocks(units, n), "bucket int, n long, ids binary, bounds binary, hashes binary, places binary")
+    found = blocks.groupBy("bucket").applyInArrow(lambda t: _bucket(t, n), SLOT)
+    return found.groupBy("slot").applyInArrow(_slot, "id long, starts binary")
 
 
-def covered(starts: list[bytes] | None, n: int, k: int) -> np.ndarray:
+def covered(starts: bytes | None, n: int, k: int) -> np.ndarray:
     """Which of n units the windows at ``starts`` cover: the union of [start, start+k)."""
     step = np.zeros(n + k + 1, np.int32)
     if starts:
-        at = np.frombuffer(b"".join(starts), "<u4").astype(np.int64)
+        at = np.frombuffer(starts, "<u4").astype(np.int64)
         at = at[at + k <= n]  # of rows that share an id, one may be shorter
         np.add.at(step, at, 1)
         np.add.at(step, at + k, -1)
     return np.cumsum(step)[:n] > 0
 
 
-def kept(texts: list[bytes], starts: list[list[bytes] | None], units: Units) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def kept(texts: list[bytes], starts: list[bytes | None], units: Units) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Texts without covered units, rejoined by one blank (words) or newline (lines); units and removed units of each."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
@@ -230,7 +261,7 @@ def without_repeats(docs: DataFrame, units: Units, id_col: str, text_col: str) -
 
         out = []
         for t, s in zip(text, starts, strict=True):
-            out.append(t if t is None or s is None or len(s) == 0 else kept([t.encode()], [list(s)], units)[0][0].decode())
+            out.append(t if t is None or s is None else kept([t.encode()], [s], units)[0][0].decode())
         return pd.Series(out, dtype=object)
 
     joined = docs.join(found, docs[id_col].cast("long") == found["_repeat_id"], "left")

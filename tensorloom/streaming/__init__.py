@@ -1,0 +1 @@
+"""Reserved: factorisation is a batch job; there are no streaming operators."""

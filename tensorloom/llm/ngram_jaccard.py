@@ -29,7 +29,7 @@ from tensorloom.llm.graph import checkpointed, components
 from tensorloom.llm.repeats import SLOT, bucket_count, cut_binary, from_slots, pack, pack_small, to_slots, unpack, unpack_small
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
-BITS, GROUP, FANOUT = 2048, 2048, 8
+BITS, GROUP, FANOUT, BROADCAST_PAIRS, BROADCAST_CLASSES = 2048, 2048, 8, 200_000, 2_000_000
 TOKEN = np.uint64((1 << 56) - 1)
 
 
@@ -211,7 +211,13 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The candidate pairs (a, b) that link, by their whole sets."""
+    """The candidate pairs (a, b) that link, by their whole sets.
+
+    Pairs counted to be few are broadcast to the sets, so that these are shuffled once less.
+    """
+    pairs = checkpointed(pairs)
+    if pairs.count() <= BROADCAST_PAIRS:
+        pairs = F.broadcast(pairs)
     one = sets.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("toks").alias("at"))
     two = sets.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("toks").alias("bt"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "an", "bn", "at", "bt").mapInArrow(_linked, "a long, b long")
@@ -225,7 +231,10 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dealt = blocks.groupBy("bucket").applyInArrow(lambda t: _shared(t, slots), SLOT)
     all_docs = checkpointed(dealt.groupBy("slot").applyInArrow(_documents, "id long, n long, s1 long, s2 long, toks binary"))
     classes = all_docs.where("toks is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    sets = checkpointed(all_docs.join(classes.select("rep"), F.col("id") == F.col("rep"), "left_semi").select(F.col("id").alias("rep"), "n", "toks"))
+    classes = checkpointed(classes)
+    reps = classes.select("rep")
+    reps = F.broadcast(reps) if classes.count() <= BROADCAST_CLASSES else reps
+    sets = checkpointed(all_docs.join(reps, F.col("id") == F.col("rep"), "left_semi").select(F.col("id").alias("rep"), "n", "toks"))
     rows = sets.mapInArrow(_prefixes, "rep long, n long, tok long")
     count = rows.groupBy("tok").agg(F.count("*").alias("members"), F.min("rep").alias("head"), F.min("n").alias("least"), F.max("n").alias("most")).where("members > 1")
     groups = checkpointed(rows.join(count, "tok"))

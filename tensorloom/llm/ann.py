@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE, CALIBRATION, TARGET = 16384, 256, 0.95
@@ -124,6 +124,17 @@ def valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return slim.where(fine)
 
 
+NEAR = "query_id long, near array<struct<loss double, vec_id long, score double>>"
+
+
+def packed(q_ids: np.ndarray, ids: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """What ``top`` found, one row of NEAR for each query; loss is the score negated, so that rows sort as ranks do."""
+    i, j, s = found
+    near = pa.StructArray.from_arrays([pa.array(-s.astype(float)), pa.array(ids[j.astype(int)], pa.int64()), pa.array(s.astype(float))], names=["loss", "vec_id", "score"])
+    cuts = np.searchsorted(i, np.arange(len(q_ids) + 1))
+    return pa.RecordBatch.from_arrays([pa.array(q_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), near)], names=["query_id", "near"])
+
+
 def brute(rows: DataFrame, q: np.ndarray, q_ids: np.ndarray, k: int) -> DataFrame:
     """(query_id, vec_id, score) of the exact k best of all rows for a bounded set of queries."""
 
@@ -131,15 +142,17 @@ def brute(rows: DataFrame, q: np.ndarray, q_ids: np.ndarray, k: int) -> DataFram
         for batch in batches:
             for at in range(0, batch.num_rows, PART):
                 part = batch.slice(at, PART)
-                i, j, s = top(q, q_ids, matrix(part.column(1)), part.column(0).to_numpy(), k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i], pa.int64()), part.column(0).take(pa.array(j)), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+                ids = part.column(0).to_numpy()
+                yield packed(q_ids, ids, top(q, q_ids, matrix(part.column(1)), ids, k))
 
-    return _best(rows.mapInArrow(run, "query_id long, vec_id long, score double"), k)
+    return _best(rows.mapInArrow(run, NEAR), k)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """The k best of each query's lists: each list has k at most, and there are as many as leaves it visited."""
+    lists = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    out = lists.select("query_id", F.posexplode("near").alias("at", "n"))
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "n.vec_id", "n.score")
 
 
 def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, target: float = TARGET) -> DataFrame:
@@ -187,11 +200,8 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
         asks = table.column("asks").to_numpy()
         ids, v = table.column("id").to_numpy(), matrix(table.column("v"))
         q, x, qi, xi = v[asks], v[~asks], ids[asks], ids[~asks]
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for at in range(0, len(q), 512):
-            i, j, s = top(q[at : at + 512], qi[at : at + 512], x, xi, k)
-            out.append((qi[at + i], xi[j.astype(int)], s))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+        none = pa.RecordBatch.from_pylist([], schema=pa.schema([("query_id", pa.int64()), ("near", pa.list_(pa.struct([("loss", pa.float64()), ("vec_id", pa.int64()), ("score", pa.float64())])))]))
+        return pa.Table.from_batches([none, *(packed(qi[at : at + 512], xi, top(q[at : at + 512], qi[at : at + 512], x, xi, k)) for at in range(0, len(q), 512))])
 
-    found = held.unionByName(asked).groupBy("leaf", "part").applyInArrow(meet, "query_id long, vec_id long, score double")
+    found = held.unionByName(asked).groupBy("leaf", "part").applyInArrow(meet, NEAR)
     return _best(found, k)

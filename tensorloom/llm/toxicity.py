@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tensorloom.llm import text as tx
 from tensorloom.llm.labelled import remainder, scored, training_rows
 
-SAMPLE = 12288
+SAMPLE = 8192
 DIMENSIONS = 1 << 22
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 12.0, 0.0, 8
 

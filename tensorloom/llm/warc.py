@@ -1,7 +1,7 @@
 """WARC archives from a page table and back, as a chunked record table.
 
-Writing: each partition writes one archive into a shared folder, one record per row, payload and digest in pieces of
-``CHUNK`` bytes. A file gets its attempt's own name, and only files named by tasks that succeeded are in the manifest
+Writing: each partition writes one archive into a shared folder, one record per row and one gzip member per record, the
+payload in pieces of ``CHUNK`` bytes. A file gets its attempt's own name, and only files named by tasks that succeeded are in the manifest
 that the job returns, so that retried and speculative tasks leave nothing behind that is read. Reading: an archive is
 streamed as rows (record, chunk number, bytes so far, digest so far, last); each carries the running SHA-256, so no
 record is ever whole in memory, and a record's last row has its length and digest. A row holds a chunk at most.
@@ -15,6 +15,7 @@ Archives go through pyarrow's file systems, so that the folder may be any store
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 from hashlib import sha256
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm.graph import shared_folder
 
-CHUNK, SMALLEST = 1 << 20, 100
+CHUNK, SMALLEST, LEVEL = 1 << 20, 100, 3
 END = b"\r\n\r\n"
 
 
@@ -62,17 +63,18 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: s
         task = TaskContext.get()
         store, base = pafs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        path = f"{base}/{task.partitionId():06d}-{task.taskAttemptId()}.warc"
+        path = f"{base}/{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         n = 0
-        with store.open_output_stream(path, buffer_size=1 << 20) as f:
+        with store.open_output_stream(path, compression=None, buffer_size=1 << 20) as f:
             for batch in batches:
                 for i in range(batch.num_rows):
                     page, url, digest, refers = (batch.column(c)[i].as_py() for c in (0, 1, 3, 4))
                     body = memoryview(batch.column(2)[i].as_buffer())
-                    f.write(_head(page, url, len(body), digest, refers))
-                    for at in range(0, len(body) if refers is None else 0, chunk):
-                        f.write(body[at : at + chunk])
-                    f.write(END)
+                    with gzip.GzipFile(fileobj=f, mode="wb", compresslevel=LEVEL, mtime=0) as member:
+                        member.write(_head(page, url, len(body), digest, refers))
+                        for at in range(0, len(body) if refers is None else 0, chunk):
+                            member.write(body[at : at + chunk])
+                        member.write(END)
                     n += 1
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "records"])
 
@@ -126,7 +128,7 @@ def read(manifest: DataFrame, folder: str, payload: bool = True) -> DataFrame:
         store, _ = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with store.open_input_stream(path) as f:
+                with store.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=raw, mode="rb") as f:
                     rows, held = [], 0
                     for row in chunk_rows(f, payload=payload):
                         rows.append(row)

@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame
 
 BLANK = "▁"
 BASE = np.int64(1) << 32
-REMEMBERED = 700_000
+REMEMBERED = 450_000
+#: New words encoded at a time, which bounds the suffix array and the edges.
+AT_ONCE = 40_000
 
 
 def _final_splits(pieces: dict[str, int], rank: dict[str, int]) -> dict[int, tuple[int, int]]:
@@ -207,7 +209,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.offs = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.ids, self.offs = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end and the texts' offsets."""
@@ -215,9 +217,13 @@ class Encoder:
             self.forget()
         words = [self.word.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         new = list(set().union(*words) - self.known.keys())
-        ids, offs = encode_words(new, self.tables)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.ids, self.offs = np.concatenate([self.ids, ids]), np.concatenate([self.offs, offs[1:] + self.offs[-1]])
+        ids, offs = [self.ids], [self.offs]
+        for a in range(0, len(new), AT_ONCE):
+            some, cuts = encode_words(new[a : a + AT_ONCE], self.tables)
+            ids.append(some.astype(np.int32))
+            offs.append(cuts[1:] + offs[-1][-1])
+        self.ids, self.offs = np.concatenate(ids), np.concatenate(offs)
         at = np.array([i for w in words for i in map(self.known.__getitem__, w)], np.int64)
         n = self.offs[at + 1] - self.offs[at]
         ends = np.cumsum(n)
@@ -254,7 +260,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(tables)
-        for part in (p for b in batches for p in _slices(b, 4 << 20)):
+        for part in (p for b in batches for p in _slices(b, 2 << 20)):
             texts = part.column(1)
             ids, offs = coder.batch(texts.to_pylist())
             made = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null())
@@ -271,7 +277,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Decoder(texts, byte)
-        for part in (p for b in batches for p in _slices(b, 4 << 20)):
+        for part in (p for b in batches for p in _slices(b, 2 << 20)):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else coder.text(x) for x in part.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
     out = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).mapInArrow(run, f"id {kind}, text string")
@@ -289,7 +295,7 @@ def encode_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         from hashlib import sha256
 
         coder, back = Encoder(tables), Decoder(tables["texts"], tables["byte"])
-        for part in (p for b in batches for p in _slices(b, 4 << 20)):
+        for part in (p for b in batches for p in _slices(b, 2 << 20)):
             texts = part.column(1).to_pylist()
             ids, offs = coder.batch(texts)
             small, ints = ids.astype("<i4"), ids.tolist()

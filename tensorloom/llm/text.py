@@ -1,7 +1,7 @@
 """Vectorised text kernels shared by the operators: Arrow batches to byte buffers, unit spans, polynomial hashes.
 
 A chunk is (rows, buf, offs): Arrow columns of some rows, their UTF-8 bytes end to end as uint8, and len(rows)+1
-offsets into them. A null text has no bytes. Hash work runs over segments of about a megabyte, so memory follows the
+offsets into them. A null text has no bytes. Hash work runs over segments of a quarter megabyte, so memory follows the
 number of units rather than 8 bytes for each byte of text, however long one text is.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 #: Odd multipliers of the polynomial hashes (bytes to unit, units to window).
 BYTE_BASE = 0x9E3779B97F4A7C15
 UNIT_BASE = 0xD6E8FEB86659FD93
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 CHUNK_BYTES = 6 << 20
 
 
@@ -84,7 +84,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         m = 1 << max(10, int(n - 1).bit_length())
         back = pow(base, -1, 1 << 64)
         have = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, b, np.uint64)]), dtype=np.uint64) for b in (base, back))
-        if m <= SEGMENT * 4:
+        if m <= SEGMENT * 2:
             _POWERS[base] = have
     return have
 

@@ -44,19 +44,26 @@ def array(f, n, rank):
     return u
 
 
-def test_planted_model_is_found(spark):
-    rng = np.random.default_rng(1)
-    u = [rng.standard_normal((n, 2)) for n in (6, 5, 4)]  # far from collinear, which ALS finds quickly
-    x = np.einsum("ir,jr,kr->ijk", *u)
-    t = ts.Tensor(spark.createDataFrame([(*map(int, i), float(v)) for i, v in np.ndenumerate(x)], "i0 long, i1 long, i2 long, v double"), [6, 5, 4])
-    model, trace = als.decompose(t, 2, 8, seed=4)
-    fits = [r["fit"] for r in trace]
-    assert fits[-1] > 0.98 and all(b >= a - 1e-9 for a, b in zip(fits[1:], fits[2:]))
-    a, b, c = (array(f, n, 2) for f, n in zip(model.factors, t.dims))
-    hat = np.einsum("r,ir,jr,kr->ijk", model.sigma, a, b, c)
-    assert abs(1 - np.linalg.norm(x - hat) / np.linalg.norm(x) - fits[-1]) < 1e-6
+def test_rounds_equal_dense_als(spark):
+    """Exact rounds equal dense ALS in NumPy from the same start; sampled ones with many draws come near it."""
+    rng, dims = np.random.default_rng(1), [6, 5, 4]
+    x = np.einsum("ir,jr,kr->ijk", *(rng.standard_normal((n, 2)) for n in dims))
+    t = ts.Tensor(spark.createDataFrame([(*map(int, i), float(v)) for i, v in np.ndenumerate(x)], "i0 long, i1 long, i2 long, v double"), dims)
+    u = [array(f, n, 2) for f, n in zip(als.start(t, 2, seed=4).factors, dims)]
+    want = []
+    for _ in range(3):
+        for k, axes in enumerate(("jr,kr,ijk->ir", "ir,kr,ijk->jr", "ir,jr,ijk->kr")):
+            o = [u[m] for m in range(3) if m != k]
+            u[k] = np.einsum(axes, *o, x) @ np.linalg.pinv((o[0].T @ o[0]) * (o[1].T @ o[1]))
+            sigma = np.linalg.norm(u[k], axis=0)
+            u[k] = u[k] / sigma
+        want.append(1 - np.linalg.norm(x - np.einsum("r,ir,jr,kr->ijk", sigma, *u)) / np.linalg.norm(x))
+    model, trace = als.decompose(t, 2, 3, seed=4)
+    fits = [r["fit"] for r in trace[1:]]
+    assert np.allclose(fits, want, atol=1e-6) and fits == sorted(fits)
+    assert all(np.allclose(array(f, n, 2), v, atol=1e-6) for f, n, v in zip(model.factors, dims, u))
     for how in ("product", "tree"):
-        assert als.decompose(t, 2, 3, how, draws=400, seed=4, warm_start=True)[1][-1]["fit"] > 0.8
+        assert als.decompose(t, 2, 2, how, draws=2000, seed=4, warm_start=True)[1][-1]["fit"] > want[0] - 0.05
 
 
 def test_tree_samples_follow_leverage(spark):

@@ -3,7 +3,8 @@
 Every window of k consecutive units of every text gets a 64-bit Rabin-Karp hash. A map over chunks of texts keeps, for
 each hash, its earliest window in the chunk (the others are repeats already) and packs these by bucket of the hash:
 sorted, as differences, in as few bytes as hold them, with a chunk offset of 3 or 4 bytes. So a window that a third of
-all texts share is sent once per chunk, and no bucket grows with one hot hash. Each bucket finds the hashes of more
+all texts share is sent once per chunk, and no bucket grows with one hot hash. A block names only the documents it has
+windows of, so blocks shrink as buckets grow in number. Each bucket finds the hashes of more
 than one chunk, keeps the earliest by (id, start) and reports the other starts to their documents. Buckets hold about
 ``BUCKET_BYTES`` of text each, so their number follows the input. Equal 64-bit hashes count as equal windows: over n
 windows about n*n/2**65 pairs are expected to differ (0.0006 for 10**8 windows, 2.7 for 10**10).
@@ -99,6 +100,8 @@ def _blocks(units: Units, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
     names = ["bucket", "n", "ids", "bounds", "hashes", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the high bits choose the bucket, so that buckets are ranges and blocks stay sorted
+        edge = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
         for table, buf, offs in tx.chunks(batches, "text"):
             ids = table.column("id").to_numpy()
             if (np.diff(ids) < 0).any():  # so that places order windows as (id, start)
@@ -120,13 +123,15 @@ def _blocks(units: Units, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
                     d = doc[a]
                     rows.append((int(ids[d]) % buckets, 0, ids[d : d + 1].tobytes(), b"", b"", (late[a:b] - bounds[d]).astype("<u4").tobytes()))
             h, at = h[~again], at[~again]
-            # the high bits choose the bucket, so that buckets are ranges and blocks stay sorted
-            edge = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
             cuts = np.r_[0, np.searchsorted(h, edge), len(h)]
-            head, unit, width = ids.tobytes(), bounds.astype("<u4").tobytes(), 3 if bounds[-1] < 1 << 24 else 4
-            for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if hi > lo:
-                    rows.append((b, int(hi - lo), head, unit, pack(h[lo:hi]), pack_small(at[lo:hi], width)))
+            doc = np.searchsorted(bounds, at, "right") - 1
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                lo, hi = int(cuts[b]), int(cuts[b + 1])
+                # places count the units of the bucket's own documents only, so that a block is as long as its windows
+                have, local = np.unique(doc[lo:hi], return_inverse=True)
+                ends = np.r_[0, np.cumsum(bounds[have + 1] - bounds[have])]
+                place = at[lo:hi] - bounds[have][local] + ends[local]
+                rows.append((b, hi - lo, ids[have].tobytes(), ends.astype("<u4").tobytes(), pack(h[lo:hi]), pack_small(place, 3 if ends[-1] < 1 << 24 else 4)))
             for i in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64], strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=names)
 

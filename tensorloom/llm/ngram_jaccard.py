@@ -2,7 +2,8 @@
 
 1. Shingle hashes (56 bits) of every text are packed by bucket and counted (as in ``repeats``); each document gets back
    those that other documents have too, with the count on a coarse scale. Documents of which over a fifth is their own
-   alone link with none.
+   alone link with none. Hot shingles, found before by ``hot_shingles``, skip the buckets: they count as most frequent
+   everywhere, so a bucket holds no more than twice its share of any one shingle. Any common order of shingles is right.
 2. Equal sets become one class, stood for by its smallest id. Of each class, the shingles that come first by (rarity,
    hash) form the prefix: two linked sets share one in it. Classes that share such a shingle meet in its group.
 3. Signature trees: the nodes of a group's tree hold the OR of their members' shingle bitmaps, the range of sizes and the
@@ -30,7 +31,8 @@ from tensorloom.llm.repeats import SLOT, bucket_count, cut_binary, from_slots, p
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 BITS, GROUP, FANOUT, BROADCAST_PAIRS, BROADCAST_CLASSES = 2048, 2048, 8, 200_000, 2_000_000
-TOKEN = np.uint64((1 << 56) - 1)
+#: The smallest share of all occurrences that makes a shingle hot, which bounds the broadcast to 1.4 million numbers.
+LEAST_SHARE = 2.0**-20
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -51,11 +53,54 @@ def shingles(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.nd
     return h[new], doc[new]
 
 
+def frequent(parts: Iterator[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Every hash that is at least ``share`` of all occurrences, its count (at most a quarter of that too low), and the total.
+
+    A Misra-Gries summary: of more than 4 / share hashes, the counts fall by that of the first one left out.
+    """
+    kept, total = int(4 / share), 0
+    h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for part in parts:
+        total += len(part)
+        new, count = np.unique(part, return_counts=True)
+        h, at = np.unique(np.r_[h, new], return_inverse=True)
+        n = np.bincount(at, np.r_[n, count], len(h)).astype(np.int64)
+        if len(h) > kept:
+            n -= np.partition(n, -kept - 1)[-kept - 1]
+            h, n = h[n > 0], n[n > 0]
+    often = n >= 0.75 * share * total
+    return h[often], n[often], total
+
+
+def hot_shingles(slim: DataFrame, buckets: int) -> np.ndarray:
+    """All shingles with at least twice ``share`` of all occurrences, over all texts; no more than 4 / 3 / share of them.
+
+    ``share`` is a quarter of a bucket. What partitions leave out of a sum is under 1.25 times it, hence the factors.
+    """
+    share = max(1 / (4 * buckets), LEAST_SHARE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n, total = frequent((shingles(buf, offs)[0] for _, buf, offs in tx.chunks(batches, "text", 4 << 20)), share)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *h.astype(np.int64).tolist()], pa.int64()), pa.array([total, *n.tolist()], pa.int64())], names=["h", "n"])
+
+    counts = checkpointed(slim.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    total = (counts.where("h is null").first() or (None, 0))[1]
+    hot = counts.where(F.col("h").isNotNull() & (F.col("n") > 1) & (F.col("n") >= 0.75 * share * total)).select("h").toArrow()
+    return np.sort(hot.column("h").to_numpy().astype(np.uint64))
+
+
 BLOCK = "bucket int, n long, ids binary, hashes binary, docs binary, sums binary"
+HOT = np.uint64(255 << 56)
 
 
-def _blocks(buckets: int):
+def _blocks(buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edge = (np.arange(1, buckets, dtype=object) * (1 << 56) // buckets).astype(np.uint64)
+
+        def block(bucket: int, sign: int, h: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> tuple:
+            have, local = np.unique(doc, return_inverse=True)
+            return bucket, sign * len(h), ids[have].tobytes(), pack(h), pack_small(local, 1 if len(have) < 256 else 2 if len(have) < 65536 else 4), b""
+
         for table, buf, offs in tx.chunks(batches, "text", 4 << 20):
             ids = table.column("id").to_numpy()
             h, doc = shingles(buf, offs)
@@ -68,12 +113,13 @@ def _blocks(buckets: int):
             rows: list[tuple] = [(int(ids[0]) % buckets, 0, ids.tobytes(), b"", b"", np.stack(sums).tobytes())]
             order = np.argsort(h, kind="stable")
             h, doc = h[order], doc[order]
-            edge = (np.arange(1, buckets, dtype=object) * (1 << 56) // buckets).astype(np.uint64)
+            if len(hot) and len(h):
+                often = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                if often.any():
+                    rows.append(block(rows[0][0], -1, h[often], doc[often], ids))
+                    h, doc = h[~often], doc[~often]
             cuts = np.r_[0, np.searchsorted(h, edge), len(h)]
-            for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if hi > lo:
-                    have, local = np.unique(doc[lo:hi], return_inverse=True)
-                    rows.append((b, int(hi - lo), ids[have].tobytes(), pack(h[lo:hi]), pack_small(local, 1 if len(have) < 256 else 2 if len(have) < 65536 else 4), b""))
+            rows += [block(b, 1, h[cuts[b] : cuts[b + 1]], doc[cuts[b] : cuts[b + 1]], ids) for b in np.flatnonzero(np.diff(cuts)).tolist()]
             for i in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64], strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "n", "ids", "hashes", "docs", "sums"])
 
@@ -89,7 +135,10 @@ def _shared(table: pa.Table, slots: int) -> pa.Table:
     out_ids, out, hashes, ids = [], [], [], []
     for n, i, h, d, s in zip(*(c.combine_chunks() for c in table.columns[1:]), strict=True):
         n, i = n.as_py(), np.frombuffer(i.as_py(), np.int64)
-        if n:
+        if n < 0:
+            out_ids.append(i[unpack_small(d.as_py(), -n)])
+            out.append(HOT | unpack(h.as_py()))
+        elif n:
             hashes.append(unpack(h.as_py()))
             ids.append(i[unpack_small(d.as_py(), n)])
         else:
@@ -227,7 +276,8 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Per row of ``docs``: id_col, n_shingles, component_id (the smallest id reachable by links, its own included)."""
     slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     slots = bucket_count(docs, text_col)
-    blocks = slim.where("id is not null").mapInArrow(_blocks(slots), BLOCK)
+    some = slim.where("id is not null")
+    blocks = some.mapInArrow(_blocks(slots, hot_shingles(some, slots)), BLOCK)
     dealt = blocks.groupBy("bucket").applyInArrow(lambda t: _shared(t, slots), SLOT)
     all_docs = checkpointed(dealt.groupBy("slot").applyInArrow(_documents, "id long, n long, s1 long, s2 long, toks binary"))
     classes = all_docs.where("toks is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))

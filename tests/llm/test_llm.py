@@ -102,6 +102,14 @@ def test_ngram_jaccard(docs):
     assert by_id(ngram_jaccard.linked_documents(docs)) == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, comp))}
 
 
+def test_frequent_finds_every_hot_hash():
+    rng = np.random.default_rng(4)
+    parts = [np.r_[rng.integers(100, 1 << 40, 900), np.repeat(np.arange(4), [1, 3, 30, 66])].astype(np.uint64) for _ in range(40)]
+    h, n, total = ngram_jaccard.frequent(iter(parts), 0.02)
+    assert total == 40000 and h.tolist() == [2, 3] and n[0] > 1000 and n[1] > 2440
+    assert [len(x) for x in ngram_jaccard.frequent(iter([]), 0.02)[:2]] == [0, 0]
+
+
 def test_tree_pairs_keep_every_link():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 55, 100)

@@ -314,3 +314,16 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     final = known.join(comp, known.rep == comp.v, "left").select(F.col("id").alias("kid"), "n", F.coalesce("component", "rep", "id").alias("component_id"))
     out = slim.select("id").join(final, F.col("id") == F.col("kid"), "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+SQL = r"""
+with recursive
+w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sh as (select distinct doc_id, array_to_string(w[i:i+4], ' ') as k from w, unnest(range(1, greatest(len(w) - 3, least(len(w) + 1, 2)))) as t(i)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+met as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh as a join sh as b using (k) where a.doc_id <> b.doc_id group by all),
+links as (select a, b from met join n as x on x.doc_id = a join n as y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+reach as (select doc_id, doc_id as r from documents union select reach.doc_id, links.b from reach join links on links.a = reach.r)
+select doc_id, any_value(coalesce(n.n, 0))::bigint as n_shingles, min(r)::bigint as component_id
+from reach left join n using (doc_id) group by doc_id
+"""

@@ -62,4 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_warc, op4_toxicity, op5_sentencepiece, op6_ngram_jaccard, op7_decontamination, op8_substring_dedup, op9_ann, op10_line_dedup)}
-ORACLE_SQL: dict[str, str] = {"op3_warc": warc.SQL, "op7_decontamination": decontamination.SQL, "op10_line_dedup": line_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": warc.SQL, "op6_ngram_jaccard": ngram_jaccard.SQL, "op7_decontamination": decontamination.SQL, "op8_substring_dedup": substring_dedup.SQL,
+    "op10_line_dedup": line_dedup.SQL,
+}

@@ -4,7 +4,7 @@
 texts (n_chars follows). 3. n-gram Jaccard join: of each group of linked documents the smallest id stays.
 4. decontamination: documents with a benchmark window go. 5. SentencePiece: piece counts and id digests of what is left.
 
-Null texts pass the filters, as nothing speaks against them, and have no pieces. SQL can't express the trained stage.
+Null texts and texts without words pass the filters, as nothing speaks against them; null and empty texts have no pieces. SQL can't express the trained stage.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.llm import decontamination, line_dedup, ngram_jaccard, sentencepiece_codec, toxicity
-from tensorloom.llm.graph import shared_folder
+from tensorloom.llm.graph import fresh, shared_folder
 from tensorloom.llm.queries import table, tokenizer
 
 
@@ -30,14 +30,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id ``ids`` does not have; null ids stay."""
+    gone = fresh(docs, "_gone")
+    return docs.join(ids.select(F.col("doc_id").alias(gone)), F.col("doc_id") == F.col(gone), "left_anti")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    links = ngram_jaccard.linked_documents(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(links, docs.doc_id == F.col("_gone"), "left_anti")
+    return without(docs, ngram_jaccard.linked_documents(docs).where("doc_id <> component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(hits, docs.doc_id == F.col("_gone"), "left_anti")
+    return without(docs, decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.llm import text as tx
+from tensorloom.llm.graph import fresh
 
 BUCKET_BYTES = 16 << 20
 
@@ -258,7 +259,8 @@ def kept(texts: list[bytes], starts: list[bytes | None], units: Units) -> tuple[
 
 def without_repeats(docs: DataFrame, units: Units, id_col: str, text_col: str) -> DataFrame:
     """``docs``, all columns, with repeats taken out of ``text_col`` (see ``kept``); texts without repeats stay as they are."""
-    found = repeated_starts(docs, units, id_col, text_col).withColumnsRenamed({"id": "_repeat_id", "starts": "_repeat_starts"})
+    rid, rstarts = fresh(docs, "_repeat_id"), fresh(docs, "_repeat_starts")
+    found = repeated_starts(docs, units, id_col, text_col).withColumnsRenamed({"id": rid, "starts": rstarts})
 
     @F.pandas_udf("string")
     def rejoin(text, starts):
@@ -269,8 +271,8 @@ def without_repeats(docs: DataFrame, units: Units, id_col: str, text_col: str) -
             out.append(t if t is None or s is None else kept([t.encode()], [s], units)[0][0].decode())
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(found, docs[id_col].cast("long") == found["_repeat_id"], "left")
-    new = F.when(F.col("_repeat_starts").isNotNull(), rejoin(F.col(text_col).cast("string"), "_repeat_starts")).otherwise(F.col(text_col))
+    joined = docs.join(found, docs[id_col].cast("long") == found[rid], "left")
+    new = F.when(F.col(rstarts).isNotNull(), rejoin(F.col(text_col).cast("string"), rstarts)).otherwise(F.col(text_col))
     return joined.withColumn(text_col, new).select(*docs.columns)
 
 

@@ -97,12 +97,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The rows of ``docs``, all columns, that score below 0.5 or have no text; one map."""
+    """The rows of ``docs``, all columns, that score below 0.5 or have no words, as nothing speaks against these; one map."""
     of = scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, buf, offs in tx.chunks(batches, "text", 4 << 20):
-            stay = pa.array((of(buf, offs) < 0.5) | (np.diff(offs) == 0))
+            n_words = np.diff(np.searchsorted(tx.spans(buf, offs, tx.ITEM_WORDS)[0], offs))
+            stay = pa.array((of(buf, offs) < 0.5) | (n_words == 0))
             yield from table.filter(stay).to_batches()
 
     return docs.mapInArrow(run, docs.schema)

@@ -53,6 +53,11 @@ def _head(page: int | None, url: str | None, n: int, digest: str, refers: int |
     return "\r\n".join([*lines, "Content-Type: text/html; charset=utf-8", f"Content-Length: {n if refers is None else 0}"]).encode() + END
 
 
+def store_of(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a URI; Spark's s3a and s3n are s3."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", folder))
+
+
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
     """Write archives below ``folder`` (a URI); gives their manifest (path, records) once it is computed."""
     chunk = CHUNK
@@ -61,7 +66,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: s
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        store, base = pafs.FileSystem.from_uri(folder)
+        store, base = store_of(folder)
         store.create_dir(base, recursive=True)
         path = f"{base}/{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         n = 0
@@ -125,7 +130,7 @@ def read(manifest: DataFrame, folder: str, payload: bool = True) -> DataFrame:
     names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = pafs.FileSystem.from_uri(folder)
+        store, _ = store_of(folder)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with store.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=raw, mode="rb") as f:

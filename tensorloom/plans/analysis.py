@@ -16,6 +16,14 @@ def load_runs(spark: SparkSession, path: str, **equal) -> DataFrame:
     return out
 
 
+def next_trial(runs: DataFrame, **equal) -> int:
+    """The number after the highest finished trial of runs with these fields; 0 for none. Lets an experiment resume."""
+    for k, v in equal.items():
+        runs = runs.where(F.col(k) == F.lit(v))
+    last = runs.agg(F.max(F.col("trial").cast("int"))).first()[0]
+    return 0 if last is None else last + 1
+
+
 def mean_phases(runs: DataFrame, keys: list[str], phases: list[str]) -> DataFrame:
     return runs.groupBy(*keys).agg(*(F.avg(p).alias(p) for p in phases))
 
@@ -47,8 +55,8 @@ def on_grid(trace: DataFrame, points: int) -> DataFrame:
 
 
 def throughput(runs: DataFrame) -> DataFrame:
-    """Adds rate: nonzeros iterated per second of the last total time."""
-    return runs.withColumn("rate", F.col("nonzeros") / F.element_at("times", -1))
+    """Adds rate: nonzeros iterated per second of the last total time; null where that is 0."""
+    return runs.withColumn("rate", F.try_divide(F.col("nonzeros"), F.element_at("times", -1)))
 
 
 def imbalance(parts: DataFrame, key: str) -> DataFrame:
@@ -66,7 +74,8 @@ def part_stats(parts: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def speedup(ours: DataFrame, base: DataFrame, key: str) -> DataFrame:
-    return ours.join(base.select(key, F.col("seconds").alias("base")), key).select(key, (F.col("base") / F.col("seconds")).alias("speedup"))
+    """How many times ``base`` takes as long; null where ours took none."""
+    return ours.join(base.select(key, F.col("seconds").alias("base")), key).select(key, F.try_divide("base", "seconds").alias("speedup"))
 
 
 def parse_trace(lines: DataFrame) -> DataFrame:

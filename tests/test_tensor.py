@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tensorloom import queries as q
+from tensorloom import source_queries
 from tensorloom.operators import algebra as al
 from tensorloom.operators import sampling as sp
 from tensorloom.plans import als, analysis
@@ -22,12 +23,15 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
+QUERIES, ORACLE_SQL = q.QUERIES | source_queries.QUERIES, q.ORACLE_SQL | source_queries.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equals_sql(spark, duck, name):
-    df = q.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     ours = sorted(map(str, (tuple(r) for r in df.select(*cols).collect())))
-    assert ours == sorted(map(str, duck.sql(f"with z as ({q.ORACLE_SQL[name]}) select {','.join(cols)} from z").fetchall()))
+    assert ours == sorted(map(str, duck.sql(f"with z as ({ORACLE_SQL[name]}) select {','.join(cols)} from z").fetchall()))
 
 
 def dense(t):
@@ -100,6 +104,22 @@ def test_rank_deficient_pinv_and_zero_columns(spark):
     assert list(size) == [0, 0] and all(r["u"] == [0.0, 0.0] for r in unit.collect())
 
 
+def test_models_traces_and_catalog(spark, tmp_path):
+    from tensorloom.sources import catalog
+
+    m = als.start(ts.Tensor(spark.range(1), [5, 4, 3]), 3, seed=2)
+    als.write_model(m, str(tmp_path / "m"))
+    back = spark.read.parquet(str(tmp_path / "m" / "mode=1"))
+    assert np.array_equal(array(back, 4, 3), array(m.factors[1], 4, 3)) and spark.read.parquet(str(tmp_path / "m" / "sigma")).count() == 3
+    for trial in (0, 1):
+        als.write_trace(spark, [{"round": 0, "fit": 0.25, "seconds": 0.0}, {"round": 1, "fit": 0.5, "seconds": 1.0}], str(tmp_path / "runs"), algorithm="tree", trial=str(trial))
+    runs = analysis.load_runs(spark, str(tmp_path / "runs"), algorithm="tree", round=1)
+    assert [r["fit"] for r in runs.collect()] == [0.5, 0.5]
+    assert analysis.next_trial(runs) == 2 and analysis.next_trial(runs, algorithm="exact") == 0
+    with pytest.raises(ValueError):
+        catalog.load(spark, SF, "none such")
+
+
 def test_analysis(spark):
     lines = spark.createDataFrame([("its = 1 (0.5s) fit = 0.25",), ("noise",), ("its = 2 (0.25s) fit = 0.5",)], "value string")
     assert [tuple(r) for r in analysis.parse_trace(lines).orderBy("its").collect()] == [(1, 0.5, 0.25, 0.5), (2, 0.25, 0.5, 0.75)]

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.functions.draws import uniform
-from tensorloom.operators.algebra import gram, hadamard, leverage, pinv, with_factors
+from tensorloom.functions.storage import checkpointed
+from tensorloom.operators.algebra import BROADCAST_CELLS, gram, hadamard, leverage, pinv, with_factors
 
 
 def cumulative(scores: DataFrame, bins: int = 256) -> tuple[DataFrame, DataFrame, float]:
@@ -89,39 +90,88 @@ class ProductSampler(Sampler):
         return out.withColumn("w", F.exp("lw")).drop("lw")
 
 
-def gram_tree(factor: DataFrame, rank: int, leaf: int | None = None) -> list[np.ndarray]:
-    """Gram matrices of leaf blocks of rows and of pairs of blocks, up to the root: level 0 is the root."""
-    width = leaf or rank
-    cells = [(r, s) for r in range(rank) for s in range(rank)]
-    rows = factor.groupBy(F.floor(F.col("idx") / width).alias("node")).agg(*(F.sum(F.col("u")[r] * F.col("u")[s]).alias(f"g{r}_{s}") for r, s in cells)).collect()
-    n = 1 << max(0, (max((r["node"] for r in rows), default=0)).bit_length())
-    level = np.zeros((n, rank, rank))
-    for r in rows:
-        level[r["node"]] = np.array([r[f"g{a}_{b}"] for a, b in cells]).reshape(rank, rank)
+def block_grams(factor: DataFrame, rank: int, width: int) -> DataFrame:
+    """(item, g): the Gram matrix, row by row, of every block of ``width`` consecutive rows that has any."""
+    many = max(1, BLOCK_CELLS // (width * rank))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        first = key[0].as_py() * many
+        u = np.zeros((many * width, rank))
+        u[table.column("idx").to_numpy() - first * width] = lists(table.column("u"), rank)
+        u = u.reshape(many, width, rank)
+        g = np.matmul(u.transpose(0, 2, 1), u).reshape(many, -1)
+        some = np.flatnonzero(g.any(1))
+        return pa.table({"item": pa.array(first + some, pa.int64()), "g": array(g[some])})
+
+    return factor.select("idx", "u", F.floor(F.col("idx") / (width * many)).alias("part")).groupBy("part").applyInArrow(run, "item long, g array<double>")
+
+
+def lists(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """A column of arrays, all of one length, as a matrix."""
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.concatenate([np.zeros((0, width)), *(c.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for c in parts)])
+
+
+def array(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
+def halved(leaves: DataFrame, rank: int) -> list[np.ndarray]:
+    """The binary tree over leaf Grams (item, g), which the driver holds: level 0 is the root."""
+    table = leaves.toArrow()
+    at = table.column("item").to_numpy()
+    level = np.zeros((1 << int(at.max(initial=0)).bit_length(), rank, rank))
+    level[at] = lists(table.column("g"), rank * rank).reshape(-1, rank, rank)
     levels = [level]
     while len(levels[0]) > 1:
         levels.insert(0, levels[0][0::2] + levels[0][1::2])
     return levels
 
 
+def gram_tree(factor: DataFrame, rank: int, leaf: int | None = None) -> list[np.ndarray]:
+    """Gram matrices of leaf blocks of rows and of pairs of blocks, up to the root: level 0 is the root."""
+    return halved(block_grams(factor, rank, leaf or rank), rank)
+
+
+#: Numbers in a group of factor rows that one task takes, and in the leaves of a tree on the driver or below one node.
+BLOCK_CELLS, TREE_CELLS = 1 << 20, 1 << 20
+#: Samples that meet a node's children in one task.
+MEET = 8192
+
+
 class TreeSampler(Sampler):
     """Rows by the exact leverage of the whole product: mode by mode, an eigenvector of what is left, then down a tree of Grams.
 
-    Trees and factors of the sampled modes travel to the executors; ``MOST_ROWS`` bounds a mode's rows.
+    The top of each mode's tree, of a bounded size, is on the driver and travels to the executors, and so do the rows of
+    factors below ``BROADCAST_CELLS``. Larger factors stay distributed: each of their tree's lower levels is a table of
+    blocks' Grams, the lowest are the rows, and samples meet the children of their node by a shuffle on the node. Only
+    nodes that samples have reached are shuffled; of many samples at one node, ``MEET`` come to a task.
     """
 
-    MOST_ROWS = 5_000_000
-
     def refresh(self, mode: int) -> None:
         if not hasattr(self, "trees"):
-            self.trees, self.rows = {}, {}
-        if self.dims[mode] > self.MOST_ROWS:
-            raise ValueError(f"mode {mode} has {self.dims[mode]} rows; the tree sampler takes {self.MOST_ROWS}, the product sampler any number")
-        self.trees[mode] = gram_tree(self.factors[mode], self.rank)
-        table = self.factors[mode].toArrow()
-        u = np.zeros((len(self.trees[mode][-1]) * self.rank, self.rank))
-        u[table.column("idx").to_numpy()] = table.column("u").combine_chunks().flatten().to_numpy().reshape(-1, self.rank)
-        self.rows[mode] = u
+            self.trees, self.rows, self.widths, self.below = {}, {}, {}, {}
+        factor, n, rank = self.factors[mode], self.dims[mode], self.rank
+        fan = self.fan()
+        widths = [rank]
+        if -(-n // rank) > fan:
+            widths = [min(max(rank, BLOCK_CELLS // rank), -(-n // fan))]
+            while -(-n // widths[-1]) > fan:
+                widths.append(widths[-1] * fan)
+        level, self.below[mode] = block_grams(factor, rank, widths[0]), []
+        for _ in widths[1:]:
+            level = checkpointed(level)
+            self.below[mode].append(level)
+            level = summed(level, rank, fan)
+        self.trees[mode], self.widths[mode], self.rows[mode] = halved(level, rank), widths, None
+        if n * rank <= BROADCAST_CELLS:
+            table = factor.toArrow()
+            u = np.zeros((max(n, len(self.trees[mode][-1]) * widths[0]), rank))
+            u[table.column("idx").to_numpy()] = lists(table.column("u"), rank)
+            self.rows[mode] = u
+
+    def fan(self) -> int:
+        return max(2, TREE_CELLS // (self.rank * self.rank))
 
     def draw(self, count: int, mode: int, seed: int) -> DataFrame:
         spark, others, rank = self.factors[0].sparkSession, [k for k in range(len(self.dims)) if k != mode], self.rank
@@ -133,36 +183,112 @@ class TreeSampler(Sampler):
             w, v = np.linalg.eigh(after)
             vectors[k] = v * np.sqrt(np.clip(w, 0, None))
             after = after * grams[k]
-        trees, rows = self.trees, self.rows
+        state = spark.range(count).select(F.col("id").alias("sample_id"), F.array(*[F.lit(1.0)] * rank).alias("h"))
+        waiting: list[int] = []
+        for k in others:
+            waiting.append(k)
+            if self.rows[k] is None:
+                state = self._walk(state, waiting, vectors, [seed, mode])
+                state = self._down(state, k, count)
+                waiting = []
+        out = self._walk(state, waiting, vectors, [seed, mode]) if waiting else state
+        terms = [F.col("h")[r] * F.col("h")[s] * F.lit(float(p[r, s] * (1 if r == s else 2))) for r in range(rank) for s in range(r, rank)]
+        return out.select("sample_id", *(f"i{k}" for k in others), (F.lit(total / count) / sum(terms[1:], terms[0])).alias("w"))
+
+    def _walk(self, state: DataFrame, modes: list[int], vectors: dict[int, np.ndarray], seed: list[int]) -> DataFrame:
+        """Each mode's row by its tree; for a distributed last one, the node reached (node), what is left to go (aim) and the query (q)."""
+        rank = self.rank
+        trees = {k: (self.trees[k], [np.einsum("nrr->n", g) > 0 for g in self.trees[k]]) for k in modes}
+        rows, widths = {k: self.rows[k] for k in modes}, {k: self.widths[k][-1] for k in modes}
+        have = [c for c in state.columns if c != "h"]
+        piece = max(1, (4 << 20) // (rank * max(rank, *(widths[k] for k in modes if rows[k] is not None), 1)))
+        open_ = rows[modes[-1]] is None
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids, h = batch.column("sample_id").to_numpy(), lists(batch.column("h"), rank)
+            out = {c: batch.column(c) for c in have}
+            for k in modes:
+                u = np.array([np.random.default_rng([*seed, k, int(i)]).random(2) for i in ids]).reshape(-1, 2)
+                levels, some = trees[k]
+                he = h[:, :, None] * vectors[k][None]
+                mass = (he * np.matmul(levels[0][0], he)).sum(1).clip(0)
+                pick = (np.cumsum(mass, 1) < u[:, :1] * mass.sum(1, keepdims=True)).sum(1).clip(0, rank - 1)
+                q = np.take_along_axis(he, pick[:, None, None], 2)[:, :, 0]
+                node, aim = np.zeros(len(ids), np.int64), u[:, 1] * np.einsum("ir,rs,is->i", q, levels[0][0], q)
+                for level, any_ in zip(levels[1:], some[1:], strict=True):
+                    left = np.matmul(q[:, None], np.matmul(level[2 * node], q[:, :, None])).ravel().clip(0)
+                    right = (aim >= left) & any_[2 * node + 1]  # rounding may point past the last row
+                    aim, node = np.where(right, aim - left, aim), 2 * node + right
+                if rows[k] is None:
+                    out |= {"q": array(q), "node": pa.array(node), "aim": pa.array(aim)}
+                    break
+                block = node[:, None] * widths[k] + np.arange(widths[k])
+                at = chosen(np.matmul(rows[k][block], q[:, :, None])[:, :, 0] ** 2, aim)
+                idx = block[np.arange(len(ids)), at]
+                h = h * rows[k][idx]
+                out[f"i{k}"] = pa.array(idx, pa.int64())
+            return pa.RecordBatch.from_pydict(out | {"h": array(h)})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(0).to_numpy()
-                h, out = np.ones((len(ids), rank)), []
-                for k in others:
-                    rng = [np.random.default_rng([seed, mode, k, int(i)]) for i in ids]
-                    u = np.array([g.random(2) for g in rng]).reshape(-1, 2)
-                    he = h[:, :, None] * vectors[k][None]
-                    mass = np.einsum("ire,rs,ise->ie", he, trees[k][0][0], he).clip(0)
-                    pick = (np.cumsum(mass, 1) < u[:, :1] * mass.sum(1, keepdims=True)).sum(1).clip(0, rank - 1)
-                    q = np.take_along_axis(he, pick[:, None, None], 2)[:, :, 0]
-                    node, low = np.zeros(len(ids), np.int64), np.zeros(len(ids))
-                    aim = u[:, 1] * np.einsum("ir,rs,is->i", q, trees[k][0][0], q)
-                    for level in trees[k][1:]:
-                        left = np.einsum("ir,irs,is->i", q, level[2 * node], q).clip(0)
-                        right = aim >= low + left
-                        low, node = np.where(right, low + left, low), 2 * node + right
-                    block = node[:, None] * rank + np.arange(rank)
-                    dots = np.einsum("ibr,ir->ib", rows[k][block], q) ** 2
-                    at = (low[:, None] + np.cumsum(dots, 1) <= aim[:, None]).sum(1)
-                    lastrow = rank - 1 - (dots[:, ::-1] > 0).argmax(1)  # rounding may point past the last row
-                    idx = block[np.arange(len(ids)), np.minimum(at, lastrow)]
-                    h = h * rows[k][idx]
-                    out.append(pa.array(idx, pa.int64()))
-                w = total / (count * np.einsum("ir,rs,is->i", h, p, h))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *out, pa.array(w, pa.float64())], names=["sample_id", *(f"i{k}" for k in others), "w"])
-
-        return spark.range(count).select(F.col("id").alias("sample_id")).mapInArrow(run, "sample_id long, " + ", ".join(f"i{k} long" for k in others) + ", w double")
+                for at in range(0, batch.num_rows, piece):
+                    yield step(batch.slice(at, piece))
+
+        kinds = [f"{c} long" for c in have] + [f"i{k} long" for k in modes if rows[k] is not None] + (["q array<double>", "node long", "aim double"] if open_ else [])
+        return state.mapInArrow(run, ", ".join([*kinds, "h array<double>"]))
+
+    def _down(self, state: DataFrame, k: int, count: int) -> DataFrame:
+        """From the driver's leaf through the distributed levels of mode k to a row."""
+        fan = self.fan()
+        for level in reversed(self.below[k]):
+            state = self._meet(state, level.select(F.floor(F.col("item") / fan).alias("node"), "item", F.col("g").alias("x")), count, None)
+        rows = self.factors[k].select(F.floor(F.col("idx") / self.widths[k][0]).alias("node"), F.col("idx").alias("item"), F.col("u").alias("x"))
+        return self._meet(state, rows, count, f"i{k}")
+
+    def _meet(self, state: DataFrame, children: DataFrame, count: int, final: str | None) -> DataFrame:
+        """Each sample's choice among its node's children; ``final``: these are rows, and this is the name of their index."""
+        rank = self.rank
+        by_node = Window.partitionBy("node").orderBy("sample_id")
+        state = checkpointed(state.withColumn("turn", F.floor((F.row_number().over(by_node) - 1) / MEET)))
+        keys = state.select(F.col("node").alias("at"), F.col("turn").alias("part")).distinct()
+        near = children.join(F.broadcast(keys) if count <= BROADCAST_CELLS else keys, F.col("node") == F.col("at")).select("at", "part", "item", "x")
+        kept = [c for c in state.columns if c not in ("h", "q", "node", "aim", "turn")]
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            item = right.column("item").to_numpy()
+            order = np.argsort(item)
+            item, x = item[order], lists(right.column("x"), rank if final else rank * rank)[order]
+            q, aim, h = lists(left.column("q"), rank), left.column("aim").to_numpy(), lists(left.column("h"), rank)
+            at, rest = np.zeros(len(q), np.int64), np.zeros(len(q))
+            step = max(1, (4 << 20) // max(len(item), rank * rank))
+            for a in range(0, len(q), step):
+                part = q[a : a + step]
+                mass = (part @ x.T) ** 2 if final else ((part[:, :, None] * part[:, None, :]).reshape(len(part), -1) @ x.T).clip(0)
+                at[a : a + step] = pick = chosen(mass, aim[a : a + step])
+                before = np.cumsum(mass, 1) - mass
+                rest[a : a + step] = aim[a : a + step] - before[np.arange(len(part)), pick]
+            out = {c: left.column(c) for c in kept}
+            if final:
+                return pa.table(out | {final: pa.array(item[at], pa.int64()), "h": array(h * x[at])})
+            return pa.table(out | {"q": array(q), "node": pa.array(item[at], pa.int64()), "aim": pa.array(rest.clip(0)), "h": array(h)})
+
+        kinds = [f"{c} long" for c in kept] + ([f"{final} long"] if final else ["q array<double>", "node long", "aim double"]) + ["h array<double>"]
+        return state.groupBy("node", "turn").cogroup(near.groupBy("at", "part")).applyInArrow(run, ", ".join(kinds))
+
+
+def summed(grams: DataFrame, rank: int, fan: int) -> DataFrame:
+    """Gram matrices of every ``fan`` consecutive blocks, from those of the blocks."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.table({"item": pa.array([key[0].as_py()], pa.int64()), "g": array(lists(table.column("g"), rank * rank).sum(0, keepdims=True))})
+
+    return grams.groupBy(F.floor(F.col("item") / fan).alias("up")).applyInArrow(run, "item long, g array<double>")
+
+
+def chosen(mass: np.ndarray, aim: np.ndarray) -> np.ndarray:
+    """In each row the first column whose running sum is above ``aim``; the last with any mass if rounding leaves none."""
+    last = mass.shape[1] - 1 - (mass[:, ::-1] > 0).argmax(1)
+    return np.minimum((np.cumsum(mass, 1) <= aim[:, None]).sum(1), last)
 
 
 def distinct_samples(samples: DataFrame, others: list[str]) -> DataFrame:

@@ -6,32 +6,19 @@ rounds. Rows of a mode without (sampled) nonzeros become zero rows.
 
 from __future__ import annotations
 
-import tempfile
 import time
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.functions.storage import checkpointed
 from tensorloom.operators import sampling as sp
 from tensorloom.operators.algebra import Kruskal, cosine_factor, fit, gaussian_factor, gram, hadamard, mttkrp, normalized, pinv, times
 from tensorloom.sources.tensors import Tensor
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where spark.checkpoint.dir is unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def start(t: Tensor, rank: int, how: str = "gaussian", seed: int = 1) -> Kruskal:
     """A first model: Gaussian or cosine factors with unit columns, all weights 1."""
     spark = t.df.sparkSession

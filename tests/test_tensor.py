@@ -81,6 +81,26 @@ def test_tree_samples_follow_leverage(spark):
     assert all(abs(r["w"] - 1 / (20000 * p[r["i1"] * 3 + r["i2"]])) < 1e-9 for r in s[:50])
 
 
+def test_tree_samples_of_large_modes(spark, monkeypatch):
+    """Factors that stay distributed, over several levels of blocks, give the draws that broadcast ones give."""
+    dims = [5, 400, 90, 3]
+    m = als.start(ts.Tensor(spark.range(1), dims), 3, seed=2)
+    rows = [array(f, n, 3) for f, n in zip(m.factors, dims)]
+    rows[1][100:300] = 0  # whole blocks without rows of any mass
+    rows[1][17] *= 30
+    m.factors[1] = spark.createDataFrame([(i, u.tolist()) for i, u in enumerate(rows[1])], "idx long, u array<double>")
+    near = {r["sample_id"]: r for r in sp.TreeSampler(m.factors, dims, 3).draw(300, 0, 1).collect()}
+    monkeypatch.setattr(sp, "BROADCAST_CELLS", 50)
+    monkeypatch.setattr(sp, "BLOCK_CELLS", 24)
+    monkeypatch.setattr(sp, "TREE_CELLS", 64)
+    monkeypatch.setattr(sp, "MEET", 16)
+    far = sp.TreeSampler(m.factors, dims, 3)
+    assert len(far.below[1]) >= 1 and far.rows[1] is None and far.rows[3] is not None
+    got = far.draw(300, 0, 1).collect()
+    assert len(got) == 300 and sum([r[f"i{k}"] for k in (1, 2, 3)] == [near[r["sample_id"]][f"i{k}"] for k in (1, 2, 3)] for r in got) >= 298
+    assert not any(100 <= r["i1"] < 300 for r in got) and all(abs(r["w"] - near[r["sample_id"]]["w"]) < 1e-9 * abs(r["w"]) for r in got if r["i1"] == near[r["sample_id"]]["i1"] and r["i2"] == near[r["sample_id"]]["i2"] and r["i3"] == near[r["sample_id"]]["i3"])
+
+
 def test_text_sources_and_permutation(spark, tmp_path):
     (tmp_path / "x.tns").write_text("# c\n1 2 3 1.5\n2 2 1 2\n2 2 1 4\n")
     t = ts.read_coordinates(spark, str(tmp_path / "x.tns"))

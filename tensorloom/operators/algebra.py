@@ -1,22 +1,28 @@
 """Products, norms and fits of sparse tensors and their low-rank models.
 
 A factor is a DataFrame (idx, u array<double>) of R columns. Factors are broadcast to the nonzeros only where their size
-(rows x R) is below ``BROADCAST_CELLS``; larger ones are joined by shuffling. R x R algebra is done on the driver.
+(rows x R) is below ``BROADCAST_CELLS``; larger ones are joined by shuffling. R x R algebra is done on the driver. What
+takes R x R terms a row (Gram, row times matrix, quadratic form) is one expression up to ``SMALL_RANK`` columns; more of
+them are matrix products over Arrow batches, as such long expressions cost more to compile than to compute.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.functions.arrow import array, lists
 from tensorloom.functions.draws import gaussian
 from tensorloom.sources.tensors import Tensor
 
 BROADCAST_CELLS = 2_000_000
 CUTOFF = 1e-11
+SMALL_RANK = 8
 
 
 @dataclass
@@ -46,8 +52,20 @@ def zero_factor(spark: SparkSession, size: int, rank: int) -> DataFrame:
 
 
 def gram_parts(factor: DataFrame, rank: int, other: str | None = None) -> np.ndarray:
-    """U'U (or U'W, of columns u and ``other``) from one aggregate of R(R+1)/2 (or R*R) sums."""
+    """U'U (or U'W, of columns u and ``other``), summed in each partition first, so that R*R numbers of each are left."""
     w = other or "u"
+    if rank > SMALL_RANK:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g = np.zeros((rank, rank))
+            for batch in batches:
+                g += lists(batch.column("u"), rank).T @ lists(batch.column(w), rank)
+            yield pa.RecordBatch.from_pydict({"g": array(g.reshape(1, -1))})
+
+        cells = factor.select(*dict.fromkeys(("u", w))).mapInArrow(run, "g array<double>").select(F.posexplode("g")).groupBy("pos").agg(F.sum("col").alias("x")).toArrow()
+        g = np.zeros(rank * rank)
+        g[cells.column("pos").to_numpy()] = cells.column("x").to_numpy()
+        return g.reshape(rank, rank)
     cells = [(r, s) for r in range(rank) for s in range(0 if other else r, rank)]
     row = factor.agg(*(F.sum(F.col("u")[r] * F.col(w)[s]).alias(f"g{r}_{s}") for r, s in cells)).first()
     g = np.zeros((rank, rank))
@@ -80,6 +98,13 @@ def pinv(m: np.ndarray, top: int | None = None, cutoff: float = CUTOFF) -> np.nd
 
 def times(factor: DataFrame, m: np.ndarray, column: str = "u") -> DataFrame:
     """Each row u replaced by u m."""
+    if len(m) > SMALL_RANK:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"idx": batch.column("idx"), column: array(lists(batch.column(column), len(m)) @ m)})
+
+        return factor.select("idx", column).mapInArrow(run, f"idx long, {column} array<double>")
     u = F.col(column)
     cols = [sum((u[s] * F.lit(float(m[s, r])) for s in range(1, m.shape[0])), u[0] * F.lit(float(m[0, r]))) for r in range(m.shape[1])]
     return factor.select("idx", F.array(*cols).alias(column))
@@ -95,6 +120,14 @@ def normalized(factor: DataFrame, rank: int) -> tuple[DataFrame, np.ndarray]:
 def quadratic(factor: DataFrame, m: np.ndarray, name: str = "score") -> DataFrame:
     """(idx, u m u'): with m = pinv(U'U) the leverage scores."""
     rank, u = len(m), F.col("u")
+    if rank > SMALL_RANK:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = lists(batch.column("u"), rank)
+                yield pa.RecordBatch.from_pydict({"idx": batch.column("idx"), name: pa.array(((x @ m) * x).sum(1))})
+
+        return factor.select("idx", "u").mapInArrow(run, f"idx long, {name} double")
     terms = [u[r] * u[s] * F.lit(float(m[r, s] * (1 if r == s else 2))) for r in range(rank) for s in range(r, rank)]
     return factor.select("idx", sum(terms[1:], terms[0]).alias(name))
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tensorloom.functions.arrow import array, lists
 from tensorloom.functions.draws import uniform
 from tensorloom.functions.storage import checkpointed
 from tensorloom.operators.algebra import BROADCAST_CELLS, gram, hadamard, leverage, pinv, with_factors
@@ -106,16 +107,6 @@ def block_grams(factor: DataFrame, rank: int, width: int) -> DataFrame:
     return factor.select("idx", "u", F.floor(F.col("idx") / (width * many)).alias("part")).groupBy("part").applyInArrow(run, "item long, g array<double>")
 
 
-def lists(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    """A column of arrays, all of one length, as a matrix."""
-    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-    return np.concatenate([np.zeros((0, width)), *(c.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for c in parts)])
-
-
-def array(rows: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
-
-
 def halved(leaves: DataFrame, rank: int) -> list[np.ndarray]:
     """The binary tree over leaf Grams (item, g), which the driver holds: level 0 is the root."""
     table = leaves.toArrow()
@@ -192,8 +183,14 @@ class TreeSampler(Sampler):
                 state = self._down(state, k, count)
                 waiting = []
         out = self._walk(state, waiting, vectors, [seed, mode]) if waiting else state
-        terms = [F.col("h")[r] * F.col("h")[s] * F.lit(float(p[r, s] * (1 if r == s else 2))) for r in range(rank) for s in range(r, rank)]
-        return out.select("sample_id", *(f"i{k}" for k in others), (F.lit(total / count) / sum(terms[1:], terms[0])).alias("w"))
+        names = ["sample_id", *(f"i{k}" for k in others)]
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = lists(batch.column("h"), rank)
+                yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {"w": pa.array(total / count / ((h @ p) * h).sum(1))})
+
+        return out.mapInArrow(weigh, ", ".join(f"{c} long" for c in names) + ", w double")
 
     def _walk(self, state: DataFrame, modes: list[int], vectors: dict[int, np.ndarray], seed: list[int]) -> DataFrame:
         """Each mode's row by its tree; for a distributed last one, the node reached (node), what is left to go (aim) and the query (q)."""

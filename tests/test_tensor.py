@@ -124,6 +124,21 @@ def test_rank_deficient_pinv_and_zero_columns(spark):
     assert list(size) == [0, 0] and all(r["u"] == [0.0, 0.0] for r in unit.collect())
 
 
+def test_products_over_batches_equal_expressions(spark, monkeypatch):
+    f = al.gaussian_factor(spark, 50, 4, 0, 1).repartition(3)
+    u, m = array(f, 50, 4), np.arange(16.0).reshape(4, 4)
+    sym = m + m.T
+    for most in (4, 3):
+        monkeypatch.setattr(al, "SMALL_RANK", most)
+        assert np.allclose(al.gram(f, 4), u.T @ u)
+        both = f.withColumn("w", F.transform("u", lambda x: x * x))
+        assert np.allclose(al.gram_parts(both, 4, "w"), u.T @ (u * u))
+        assert np.allclose(array(al.times(f, m), 50, 4), u @ m)
+        got = {r["idx"]: r["score"] for r in al.quadratic(f, sym).collect()}
+        assert np.allclose([got[i] for i in range(50)], ((u @ sym) * u).sum(1))
+        assert not al.gram(f.limit(0), 4).any() and al.times(f.limit(0), m).count() == 0
+
+
 def test_models_traces_and_catalog(spark, tmp_path):
     from tensorloom.sources import catalog
 

@@ -160,13 +160,36 @@ def mttkrp(t: Tensor, factors: list[DataFrame], mode: int, rank: int) -> DataFra
 
 
 def reconstructed(coords: DataFrame, model: Kruskal) -> DataFrame:
-    """Adds vhat, the model's value, to rows of coordinates i0.. ."""
+    """Adds vhat, the model's value, to rows of coordinates i0.. ; rows outside of the model go."""
     modes = list(range(len(model.dims)))
+    if model.rank > SMALL_RANK and max(model.dims) * model.rank <= BROADCAST_CELLS:
+        return _looked_up(coords, model)
     rows = with_factors(coords, {k: (model.factors[k], model.dims[k]) for k in modes}, model.rank)
     terms = [product(modes, r) * F.lit(float(s)) for r, s in enumerate(model.sigma)]
     return rows.withColumn("vhat", sum(terms[1:], terms[0])).drop(*(f"u{k}" for k in modes))
 
 
+def _looked_up(coords: DataFrame, model: Kruskal) -> DataFrame:
+    """``reconstructed`` with factors that all travel to the executors, so that only coordinates leave the JVM."""
+    rank, sigma, rows = model.rank, model.sigma, []
+    for f, n in zip(model.factors, model.dims, strict=True):
+        table, u = f.select("idx", "u").toArrow(), np.zeros((n, rank))
+        u[table.column("idx").to_numpy()] = lists(table.column("u"), rank)
+        rows.append(u)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [batch.column(f"i{k}").to_numpy(zero_copy_only=False) for k in range(len(rows))]
+            inside = np.logical_and.reduce([(i >= 0) & (i < len(u)) for i, u in zip(at, rows, strict=True)])
+            batch, product_ = batch.filter(pa.array(inside)), sigma
+            for i, u in zip(at, rows, strict=True):
+                product_ = product_ * u[i[inside].astype(np.int64)]
+            yield pa.RecordBatch.from_pydict(dict(zip(batch.schema.names, batch.columns, strict=True)) | {"vhat": pa.array(product_.sum(1))})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coords.schema.fields)
+    return coords.mapInArrow(run, f"{schema}, vhat double")
+
+
 def norm(t: Tensor) -> float:
     return float(np.sqrt(t.df.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0))
 

@@ -136,6 +136,11 @@ def test_products_over_batches_equal_expressions(spark, monkeypatch):
         assert np.allclose(array(al.times(f, m), 50, 4), u @ m)
         got = {r["idx"]: r["score"] for r in al.quadratic(f, sym).collect()}
         assert np.allclose([got[i] for i in range(50)], ((u @ sym) * u).sum(1))
+        model = al.Kruskal([f, al.gaussian_factor(spark, 7, 4, 1, 2)], np.array([1.0, 2.0, 0.5, 3.0]), [50, 7])
+        at = spark.createDataFrame([(3, 6, "x"), (49, 0, None), (50, 1, "out"), (None, 2, "out")], "i0 long, i1 long, tag string")
+        hats = {r["i0"]: r["vhat"] for r in al.reconstructed(at, model).collect()}
+        w = array(model.factors[1], 7, 4)
+        assert set(hats) == {3, 49} and np.allclose([hats[3], hats[49]], [(model.sigma * u[3] * w[6]).sum(), (model.sigma * u[49] * w[0]).sum()])
         assert not al.gram(f.limit(0), 4).any() and al.times(f.limit(0), m).count() == 0
 
 

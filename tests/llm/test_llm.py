@@ -5,6 +5,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tensorloom.llm import ann, decontamination, line_dedup, ngram_jaccard, quality, queries, sentencepiece_codec, substring_dedup, token_counts, toxicity, warc
 
@@ -196,3 +197,37 @@ def test_empty_tables(spark):
     assert decontamination.contamination(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda i: i % 20 == 0).count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    """Columns named as the operators' own, of other types, change no result."""
+    names = ["payload_digest", "record_type", "chunk_no", "record", "last", "query_id", "rank", "score", "leaf", "node", "h", "label", "lid", "held_out", "n_tokens", "n_bytes", "item_id", "slot", "bucket", "kid", "rep", "component_id", "_repeat_id"]
+
+    def more(df):
+        for n in names:
+            df = df.withColumn(n, F.lit("clash"))
+        return df
+
+    texts_ = [None, "", "plain words here", "plain words here", "a b c d e f g h i j k l m n o p q r s t u", "x a b c d e f g h i j k l m n o p q r s t u"]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(6)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([(1, "u", "x" * 200), (2, None, "x" * 200), (3, "u", None)], "page_id long, url string, html string")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "vec_id long, embedding array<double>")
+    items = spark.createDataFrame([(1, texts_[4])], "item_id long, text string")
+    runs = {
+        "tokens": lambda f: token_counts.count_tokens(f(docs), queries.tokenizer("byte_bpe_50k.json")),
+        "pieces": lambda f: sentencepiece_codec.encode_digest(f(docs), queries.tokenizer("piece_bpe_32k.model")),
+        "quality": lambda f: quality.score(f(docs), quality.train(f(docs), labels)),
+        "toxicity": lambda f: toxicity.score(f(docs), toxicity.train(f(docs), labels)),
+        "warc": lambda f: warc.round_trip(f(pages)),
+        "jaccard": lambda f: ngram_jaccard.linked_documents(f(docs)),
+        "decontamination": lambda f: decontamination.contamination(f(docs), items),
+        "substrings": lambda f: substring_dedup.dedup_digest(f(docs)),
+        "lines": lambda f: line_dedup.dedup_digest(f(docs)),
+        "ann": lambda f: ann.search(f(vectors), lambda i: i % 20 == 0),
+    }
+    for name, run in runs.items():
+        want, got = run(lambda df: df), run(more)
+        assert want.columns == got.columns and sorted(map(str, want.collect())) == sorted(map(str, got.collect())), name
+    assert toxicity.accepted(more(docs), toxicity.train(docs, labels)).columns == more(docs).columns
+    assert line_dedup.dedup(more(docs)).columns == more(docs).columns

@@ -19,20 +19,22 @@ from tensorloom.functions.storage import checkpointed
 from tensorloom.operators.algebra import BROADCAST_CELLS, gram, hadamard, leverage, pinv, with_factors
 
 
-def cumulative(scores: DataFrame, bins: int = 256) -> tuple[DataFrame, DataFrame, float]:
-    """(idx, score, lo, hi) running sums in order of idx, by bins of idx; the bins' own sums; the total.
+def cumulative(scores: DataFrame, bins: int = 256) -> tuple[DataFrame, list[float], float]:
+    """(idx, score, bin, lo, hi) running sums in order of idx, by bins of idx; where each bin starts; the total.
 
     Bins are summed first and each row adds its bin's start, so no window spans the whole mode.
     """
     size = scores.agg(F.max("idx")).first()[0]
     width = max(1, -(-((size or 0) + 1) // bins))
     rows = scores.withColumn("bin", F.floor(F.col("idx") / width).cast("int"))
-    sums = rows.groupBy("bin").agg(F.sum("score").alias("mass"))
-    starts = sums.withColumn("start", F.sum("mass").over(Window.orderBy("bin")) - F.col("mass"))
-    run = F.sum("score").over(Window.partitionBy("bin").orderBy("idx"))
-    out = rows.withColumn("run", run).join(F.broadcast(starts.select("bin", "start")), "bin")
-    out = out.select("idx", "score", "bin", (F.col("start") + F.col("run") - F.col("score")).alias("lo"), (F.col("start") + F.col("run")).alias("hi"))
-    return out, starts, float(sums.agg(F.sum("mass")).first()[0] or 0.0)
+    mass = np.zeros(bins)
+    for r in rows.groupBy("bin").agg(F.sum("score").alias("mass")).collect():  # at most ``bins`` rows
+        mass[r["bin"]] = r["mass"]
+    ends = np.cumsum(mass)
+    starts = [0.0, *ends[:-1].tolist()]
+    run = F.col("start") + F.sum("score").over(Window.partitionBy("bin").orderBy("idx"))
+    out = rows.withColumn("start", F.element_at(F.lit(starts), F.col("bin") + 1)).withColumn("hi", run)
+    return out.select("idx", "score", "bin", (F.col("hi") - F.col("score")).alias("lo"), "hi"), starts, float(ends[-1])
 
 
 def inverse_cdf(draws: DataFrame, scores: DataFrame) -> DataFrame:
@@ -42,15 +44,13 @@ def inverse_cdf(draws: DataFrame, scores: DataFrame) -> DataFrame:
     """
     cdf, starts, total = cumulative(scores)
     aimed = draws.withColumn("aim", F.col("u") * F.lit(total))
-    edges = [r["start"] for r in starts.orderBy("bin").collect()]  # at most 256 bins
-    names = [r["bin"] for r in starts.orderBy("bin").select("bin").collect()]
-    place = sum((F.when(F.col("aim") >= F.lit(e), 1).otherwise(0) for e in edges[1:]), F.lit(0))
-    aimed = aimed.withColumn("bin", F.element_at(F.array(*map(F.lit, names)), place + 1))
-    both = cdf.select("bin", F.col("hi").alias("at"), F.lit(1).alias("kind"), "idx", "score", F.lit(None).cast("long").alias("sample_id")).unionByName(
+    # of bins that start at one place, all but the last are empty
+    aimed = aimed.withColumn("bin", F.size(F.filter(F.lit(starts), lambda e: e <= F.col("aim"))) - 1)
+    both = cdf.where("score > 0").select("bin", F.col("hi").alias("at"), F.lit(1).alias("kind"), "idx", "score", F.lit(None).cast("long").alias("sample_id")).unionByName(
         aimed.select("bin", F.col("aim").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("idx"), F.lit(None).cast("double").alias("score"), "sample_id").withColumn("kind", F.lit(0)))
-    # rows whose running sum is above the aim come after it; of equal ones the row comes first, as its range is open above
-    later = Window.partitionBy("bin").orderBy("at", F.desc("kind")).rowsBetween(1, Window.unboundedFollowing)
-    found = both.withColumn("near", F.first(F.when(F.col("kind") == 1, F.struct("idx", "score")), ignorenulls=True).over(later))
+    # backwards, as a frame that only grows takes one pass: rows whose running sum is above the aim come before it
+    later = Window.partitionBy("bin").orderBy(F.desc("at"), "kind", F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("near", F.last(F.when(F.col("kind") == 1, F.struct("idx", "score")), ignorenulls=True).over(later))
     last = both.where("kind = 1").groupBy("bin").agg(F.max_by(F.struct("idx", "score"), "at").alias("last"))
     out = found.where("kind = 0").join(F.broadcast(last), "bin").withColumn("near", F.coalesce("near", "last"))
     return out.select("sample_id", F.col("near.idx").alias("idx"), (F.col("near.score") / F.lit(total)).alias("p"))

@@ -155,7 +155,7 @@ def iteration_speedup(spark, d):
 
 def parsed_trace(spark, d):
     days = _events(spark, d).groupBy(F.dayofmonth("ts").alias("its")).agg(F.count("*").alias("n"))
-    lines = days.select(F.format_string("  its = %3d (%d.5s)  fit = 0.%05d  delta = +1e-3", "its", "n", "n").alias("value"))
+    lines = days.select(F.format_string("  its = %3d (%d.5s)  fit = %.5f  delta = +1e-3", "its", "n", F.col("n") / 100000).alias("value"))
     out = analysis.parse_trace(lines.union(spark.createDataFrame([("Factoring",), ("",)], "value string")))
     return out.select("its", "seconds", rounded(F.col("fit")).alias("fit"), "elapsed")
 

@@ -9,7 +9,7 @@ them are matrix products over Arrow batches, as such long expressions cost more
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +25,42 @@ CUTOFF = 1e-11
 SMALL_RANK = 8
 
 
+def few(cells: int) -> bool:
+    """Whether so many numbers may be on the driver and travel to every executor."""
+    return cells <= BROADCAST_CELLS
+
+
 @dataclass
 class Kruskal:
-    """A low-rank model: a factor for each mode and one weight per component."""
+    """A low-rank model: a factor for each mode and one weight per component.
+
+    ``rows``: factors that the driver holds too, as matrices; only ones whose size was checked by ``few``.
+    """
 
     factors: list[DataFrame]
     sigma: np.ndarray
     dims: list[int]
+    rows: dict[int, np.ndarray] = field(default_factory=dict)
 
     @property
     def rank(self) -> int:
         return len(self.sigma)
 
+    def put(self, mode: int, u: np.ndarray) -> None:
+        """Replace a factor by rows that the driver holds."""
+        self.factors[mode], self.rows[mode] = from_rows(self.factors[mode].sparkSession, u), u
+
+    def hold(self) -> Kruskal:
+        """Have the driver hold all factors that are small enough."""
+        for k, n in enumerate(self.dims):
+            if k not in self.rows and few(n * self.rank):
+                self.put(k, on_driver(self.factors[k], n, self.rank))
+        return self
+
+
+def from_rows(spark: SparkSession, u: np.ndarray) -> DataFrame:
+    return spark.createDataFrame(pa.table({"idx": pa.array(np.arange(len(u)), pa.int64()), "u": array(u)}))
+
 
 def cosine_factor(spark: SparkSession, size: int, rank: int) -> DataFrame:
     """cos(idx*R + r): fixed entries; of rank 2 however many columns there are."""
@@ -114,7 +138,7 @@ def normalized(factor: DataFrame, rank: int) -> tuple[DataFrame, np.ndarray]:
     """Columns scaled to unit length, and their lengths; a zero column stays, with length 0."""
     row = factor.agg(*(F.sum(F.col("u")[r] * F.col("u")[r]).alias(f"n{r}") for r in range(rank))).first()
     size = np.sqrt(np.array([row[f"n{r}"] or 0.0 for r in range(rank)]))
-    return factor.select("idx", F.array(*(F.col("u")[r] / F.lit(float(n or 1.0)) for r, n in enumerate(size))).alias("u")), size
+    return divided(factor, size), size
 
 
 def quadratic(factor: DataFrame, m: np.ndarray, name: str = "score") -> DataFrame:
@@ -132,15 +156,28 @@ def quadratic(factor: DataFrame, m: np.ndarray, name: str = "score") -> DataFram
     return factor.select("idx", sum(terms[1:], terms[0]).alias(name))
 
 
-def leverage(factor: DataFrame, rank: int) -> DataFrame:
-    return quadratic(factor, pinv(gram(factor, rank)))
+def leverage(factor: DataFrame, rank: int, g: np.ndarray | None = None) -> DataFrame:
+    """(idx, score) of each row; ``g``: the factor's Gram matrix, if it is known."""
+    return quadratic(factor, pinv(gram(factor, rank) if g is None else g))
+
+
+def divided(factor: DataFrame, size: np.ndarray) -> DataFrame:
+    """Columns divided by ``size``, those of size 0 left as they are."""
+    return factor.select("idx", F.array(*(F.col("u")[r] / F.lit(float(n or 1.0)) for r, n in enumerate(size))).alias("u"))
+
+
+def on_driver(factor: DataFrame, size: int, rank: int) -> np.ndarray:
+    """The rows of a factor whose size was checked to be below ``BROADCAST_CELLS``."""
+    table, u = factor.select("idx", "u").toArrow(), np.zeros((size, rank))
+    u[table.column("idx").to_numpy()] = lists(table.column("u"), rank)
+    return u
 
 
 def with_factors(df: DataFrame, factors: dict[int, tuple[DataFrame, int]], rank: int) -> DataFrame:
     """Joins factor k's row to rows with index column ik, as column u{k}; given each factor and its row count."""
     for k, (f, size) in factors.items():
         side = f.select(F.col("idx").alias(f"_x{k}"), F.col("u").alias(f"u{k}"))
-        df = df.join(F.broadcast(side) if size * rank <= BROADCAST_CELLS else side, F.col(f"i{k}") == F.col(f"_x{k}")).drop(f"_x{k}")
+        df = df.join(F.broadcast(side) if few(size * rank) else side, F.col(f"i{k}") == F.col(f"_x{k}")).drop(f"_x{k}")
     return df
 
 
@@ -162,20 +199,22 @@ def mttkrp(t: Tensor, factors: list[DataFrame], mode: int, rank: int) -> DataFra
 def reconstructed(coords: DataFrame, model: Kruskal) -> DataFrame:
     """Adds vhat, the model's value, to rows of coordinates i0.. ; rows outside of the model go."""
     modes = list(range(len(model.dims)))
-    if model.rank > SMALL_RANK and max(model.dims) * model.rank <= BROADCAST_CELLS:
+    if model.rank > SMALL_RANK and few(max(model.dims) * model.rank):
         return _looked_up(coords, model)
-    rows = with_factors(coords, {k: (model.factors[k], model.dims[k]) for k in modes}, model.rank)
-    terms = [product(modes, r) * F.lit(float(s)) for r, s in enumerate(model.sigma)]
+    factors, sigma = list(model.factors), model.sigma
+    if model.rows:  # weights go into held rows, as numbers in a plan are compiled anew each time
+        k = min(model.rows)
+        factors[k], sigma = from_rows(factors[k].sparkSession, model.rows[k] * sigma), None
+    rows = with_factors(coords, {k: (factors[k], model.dims[k]) for k in modes}, model.rank)
+    terms = [product(modes, r) * (F.lit(1.0) if sigma is None else F.lit(float(sigma[r]))) for r in range(model.rank)]
     return rows.withColumn("vhat", sum(terms[1:], terms[0])).drop(*(f"u{k}" for k in modes))
 
 
 def _looked_up(coords: DataFrame, model: Kruskal) -> DataFrame:
     """``reconstructed`` with factors that all travel to the executors, so that only coordinates leave the JVM."""
     rank, sigma, rows = model.rank, model.sigma, []
-    for f, n in zip(model.factors, model.dims, strict=True):
-        table, u = f.select("idx", "u").toArrow(), np.zeros((n, rank))
-        u[table.column("idx").to_numpy()] = lists(table.column("u"), rank)
-        rows.append(u)
+    for k, (f, n) in enumerate(zip(model.factors, model.dims, strict=True)):
+        rows.append(model.rows[k] if k in model.rows else on_driver(f, n, rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,10 +253,12 @@ def residual2(t: Tensor, model: Kruskal, grams: list[np.ndarray]) -> float:
     return max(0.0, model_norm2(model.sigma, grams) + part)
 
 
-def fit(t: Tensor, model: Kruskal, grams: list[np.ndarray] | None = None) -> float:
-    """1 - |X - model| / |X|."""
+def fit(t: Tensor, model: Kruskal, grams: list[np.ndarray] | None = None, size: float | None = None, inner_: float | None = None) -> float:
+    """1 - |X - model| / |X|; ``size``: |X|, and ``inner_``: the inner product of both, where they are known."""
     grams = grams or [gram(f, model.rank) for f in model.factors]
-    return 1.0 - float(np.sqrt(residual2(t, model, grams))) / norm(t)
+    size = norm(t) if size is None else size
+    rest = residual2(t, model, grams) if inner_ is None else max(0.0, model_norm2(model.sigma, grams) + size * size - 2.0 * inner_)
+    return 1.0 - float(np.sqrt(rest)) / size
 
 
 def krp(a: DataFrame, b: DataFrame, rank: int) -> DataFrame:

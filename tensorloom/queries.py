@@ -20,7 +20,7 @@ DRAWS = 4000
 def psm(spark: SparkSession, d: str) -> ts.Tensor:
     """part x supplier x month, counting line items."""
     items = spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", "l_suppkey", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("m"))
-    return ts.encode(items.groupBy("l_partkey", "l_suppkey", "m").agg(F.count("*").alias("n")), ["l_partkey", "l_suppkey", "m"], "n")[0]
+    return ts.encode(items.groupBy("l_partkey", "l_suppkey", "m").agg(F.count("*").alias("n")), ["l_partkey", "l_suppkey", "m"], "n", keys=items)[0]
 
 
 #: The tensor t (i0, i1, i2, v), its sizes, and cosine factors f0, f1, f2 (idx, r, u) of R columns.
@@ -138,9 +138,10 @@ def als_tree(spark, d):
 
 
 def leverage_draws(spark, d):
-    scores = al.leverage(al.cosine_factor(spark, psm(spark, d).dims[0], 2), 2)
+    size = psm(spark, d).dims[0]
+    cdf = sp.cumulative(al.leverage(al.cosine_factor(spark, size, 2), 2), size)
     draws = spark.range(DRAWS).select(F.col("id").alias("sample_id"), uniform(5, 0, F.col("id")).alias("u"))
-    return sp.inverse_cdf(draws, scores).select("sample_id", "idx", rounded(-F.log("p"), 6).alias("log_weight"))
+    return sp.inverse_cdf(draws, cdf).select("sample_id", "idx", rounded(-F.log("p"), 6).alias("log_weight"))
 
 
 def _samples(spark, d):
@@ -156,7 +157,7 @@ def product_samples(spark, d):
 
 def mttkrp_sampled(spark, d):
     t, m, s = _samples(spark, d)
-    return cells(sp.sampled_mttkrp(t.df, sp.design(s, m.factors, m.dims, 0, 2), 0, ["i1", "i2"], 2), 4)
+    return cells(sp.sampled_mttkrp(t.df, sp.design(s, m.factors, m.dims, 0, 2), 0, ["i1", "i2"], 2, t.dims, DRAWS), 4)
 
 
 def tree_samples(spark, d):

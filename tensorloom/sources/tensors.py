@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tensorloom.functions.draws import uniform
+from tensorloom.functions.storage import checkpointed
 
 
 @dataclass
@@ -36,33 +37,43 @@ class Tensor:
         return self.map(self.df.groupBy(*self.indices()).agg(F.sum("v").alias("v")))
 
 
-def dictionary(keys: DataFrame) -> DataFrame:
-    """(key, idx): ids 0.. in key order of the distinct values of the one column, without a global single-partition sort.
+def numbered(keys: DataFrame) -> tuple[DataFrame, int, int]:
+    """(key, idx): ids 0.. in key order of the distinct values of the one column; how many, and their bytes as text.
 
-    Keys are range-partitioned; each partition numbers its own and starts after the partitions before it.
+    No global sort: keys are range-partitioned; each partition numbers its own and starts after the partitions before it.
     """
     name = keys.columns[0]
     spread = keys.select(F.col(name).alias("key")).where("key is not null").distinct().repartitionByRange("key").withColumn("p", F.spark_partition_id())
-    spread = spread.persist(StorageLevel.MEMORY_AND_DISK)  # so that numbers and offsets see the same ranges
+    spread = checkpointed(spread)  # so that numbers and offsets see the same ranges
     own = spread.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("key")))
-    sizes = sorted((r["p"], r["count"]) for r in spread.groupBy("p").count().collect())  # one row per partition
-    start, total = {}, 0
-    for p, n in sizes:
-        start[p] = total
-        total += n
-    if not sizes:
-        return own.select("key", F.col("n").cast("long").alias("idx"))
-    offset = F.element_at(F.create_map(*(F.lit(x) for kv in start.items() for x in kv)), F.col("p"))
-    return own.select("key", (offset + F.col("n") - 1).cast("long").alias("idx"))
-
-
-def encode(df: DataFrame, modes: list[str], value: str) -> tuple[Tensor, list[DataFrame]]:
-    """The tensor of distinct mode values relabelled 0.. in order, and each mode's dictionary. Rows with null keys go."""
-    dicts = [dictionary(df.select(m)) for m in modes]
+    size = F.sum(F.octet_length(F.to_json(F.struct("key"))).cast("long"))
+    parts = {r["p"]: (r["n"], r["size"]) for r in spread.groupBy("p").agg(F.count("*").alias("n"), size.alias("size")).collect()}  # one row per partition
+    counts = [parts.get(p, (0, 0))[0] for p in range(max(parts, default=0) + 1)]
+    before = [sum(counts[:p]) for p in range(len(counts))]
+    ids = own.select("key", (F.element_at(F.lit(before), F.col("p") + 1) + F.col("n") - 1).cast("long").alias("idx"))
+    return ids, sum(counts), sum(s for _, s in parts.values())
+
+
+def dictionary(keys: DataFrame) -> DataFrame:
+    return numbered(keys)[0]
+
+
+#: Bytes of a dictionary, as text, that may travel to every executor.
+BROADCAST_BYTES = 16 << 20
+
+
+def encode(df: DataFrame, modes: list[str], value: str, keys: DataFrame | None = None) -> tuple[Tensor, list[DataFrame]]:
+    """The tensor of distinct mode values relabelled 0.. in order, and each mode's dictionary. Rows with null keys go.
+
+    ``keys``: a table with the same values in the mode columns, where that is cheaper to read than ``df``, such as what
+    ``df`` groups. Dictionaries that were found to be small are broadcast.
+    """
+    made = [numbered((df if keys is None else keys).select(m)) for m in modes]
     out = df.where(" and ".join(f"`{m}` is not null" for m in modes))
-    for k, (m, d) in enumerate(zip(modes, dicts, strict=True)):
-        out = out.join(d.withColumnsRenamed({"key": f"_k{k}", "idx": f"i{k}"}), F.col(m) == F.col(f"_k{k}")).drop(f"_k{k}")
-    return Tensor(out.select(*(f"i{k}" for k in range(len(modes))), F.col(value).cast("double").alias("v")), [d.count() for d in dicts]), dicts
+    for k, (m, (d, _, size)) in enumerate(zip(modes, made, strict=True)):
+        side = d.withColumnsRenamed({"key": f"_k{k}", "idx": f"i{k}"})
+        out = out.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, F.col(m) == F.col(f"_k{k}")).drop(f"_k{k}")
+    return Tensor(out.select(*(f"i{k}" for k in range(len(modes))), F.col(value).cast("double").alias("v")), [n for _, n, _ in made]), [d for d, _, _ in made]
 
 
 def rebased(df: DataFrame, indices: list[str], value: str) -> Tensor:

@@ -162,7 +162,7 @@ def _shared(table: pa.Table, slots: int) -> pa.Table:
 
 def _documents(table: pa.Table) -> pa.Table:
     """A slot's documents: id, size and sums of the set, and its shared hashes if they are 0.8 of it at least."""
-    ids, values = from_slots(table, "<u8")
+    ids, _, values = from_slots(table, "<u8")
     order = np.argsort(ids, kind="stable")
     ids, values = ids[order], values[order]
     cuts = np.flatnonzero(np.r_[True, np.diff(ids) != 0, True]) if len(ids) else np.zeros(1, np.int64)

@@ -16,7 +16,7 @@ import pyarrow as pa
 BYTE_BASE = 0x9E3779B97F4A7C15
 UNIT_BASE = 0xD6E8FEB86659FD93
 SEGMENT = 1 << 18
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES, CHUNK_ROWS = 6 << 20, 1 << 16
 
 
 def _classes(inside: bytes) -> np.ndarray:
@@ -44,8 +44,8 @@ def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK_BYTES) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """Regroup Arrow batches so that each chunk has about ``size`` bytes of text; one longer text is a chunk alone."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Regroup Arrow batches so that each chunk has about ``size`` bytes of text, and ``rows`` rows at most; one longer text is a chunk alone."""
 
     def out(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
         table = pa.Table.from_batches(parts).combine_chunks()
@@ -53,7 +53,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK_BYTES
         return table, *_buffer(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
 
     held: list[pa.RecordBatch] = []
-    n = 0
+    n = count = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -61,15 +61,16 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK_BYTES
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + size - n, "right")) - 1) if n < size else at
+            to = min(to, at + rows - count)
             if to > at and held and n + ends[to] - ends[at] > size:
                 to = at
             if to > at:
                 held.append(batch.slice(at, to - at))
-                n += int(ends[to] - ends[at])
+                n, count = n + int(ends[to] - ends[at]), count + to - at
                 at = to
-            if n >= size or at < batch.num_rows:
+            if n >= size or count >= rows or at < batch.num_rows:
                 yield out(held)
-                held, n = [], 0
+                held, n, count = [], 0, 0
     if held:
         yield out(held)
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tensorloom.llm import ann, decontamination, line_dedup, ngram_jaccard, quality, queries, sentencepiece_codec, substring_dedup, token_counts, toxicity, warc
+from tensorloom.llm import ann, decontamination, line_dedup, ngram_jaccard, quality, queries, repeats, sentencepiece_codec, substring_dedup, token_counts, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, id string, starts int, bucket int, label string, n long"
@@ -87,6 +87,72 @@ def test_line_dedup(docs):
     assert text[15] == "z\ny" and text[14] == "l1\nl2\nl3\nl4" and text[None] == "one two three"
 
 
+def shared_ids(spark):
+    """Rows of one id with other texts, equal rows, and copies under other ids, some with null texts or ids."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(300)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    a, b, c, once = say(30), say(50), "l1 x\nl2 x\nl3 x\nl4 x", " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (1, a), (1, a), (2, once), (2, a + " " + say(5)), (3, b), (3, b[:120] + " " + say(25)), (4, b), (4, b), (5, c), (5, c), (6, c + "\nend"), (6, "l0\n" + c)]
+    rows += [(7, None), (7, None), (7, "x"), (7, "x"), (8, ""), (8, ""), (None, a), (None, a), (9, say(40)), (-3, c + " " + say(30)), (-3, a)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def brute_repeats(rows, k, cut, counts, glue):
+    """(id, units, removed, digest) of every row; equal rows in a row, the others of an id by tag."""
+    seen, out = set(), []
+    for i, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2])):
+        w = cut(t) if t else []
+        gone = [False] * len(w)
+        for s in range(len(w) - k + 1) if i is not None else ():
+            key = tuple(w[s : s + k])
+            if counts(key):
+                gone[s : s + k] = [True] * k if key in seen else gone[s : s + k]
+                seen.add(key)
+        out.append((i, len(w), sum(gone), sha256(glue.join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3])
+@pytest.mark.parametrize("fan", [repeats.FAN, 2])
+def test_rows_that_share_an_id(spark, monkeypatch, parts, fan):
+    """The first copy of everything stays, however rows are dealt to partitions and hashes to buckets."""
+    monkeypatch.setattr(repeats, "FAN", fan)
+    monkeypatch.setattr(repeats, "COPIES", 1)
+    docs = shared_ids(spark).repartition(parts).persist()
+    rows = [tuple(r) for r in docs.withColumn("t", F.xxhash64("text")).collect()]
+    kinds = {substring_dedup: (20, WORD.findall, lambda key: True, " "), line_dedup: (3, lambda t: t.split("\n"), lambda key: WORD.search("".join(key)), "\n")}
+    for mod, (k, cut, counts, glue) in kinds.items():
+        assert sorted(str(tuple(r)) for r in mod.dedup_digest(docs).collect()) == brute_repeats(rows, k, cut, counts, glue)
+        texts_ = sorted((r for r in mod.dedup(docs.withColumn("n", F.lit(1))).collect()), key=str)
+        assert len(texts_) == len(rows) and set(" ".join(r["text"] or "" for r in texts_).split()) == set(" ".join(r[1] or "" for r in rows).split())
+        assert sum(r["text"] is None for r in texts_) == 2
+    docs.unpersist()
+
+
+def test_two_step_dealing_changes_nothing(spark, docs, monkeypatch):
+    one = by_id(substring_dedup.dedup_digest(docs))
+    for fan, windows in ((3, 1000), (2, 50)):
+        monkeypatch.setattr(repeats, "FAN", fan)
+        monkeypatch.setattr(repeats, "WINDOWS", windows)
+        assert by_id(substring_dedup.dedup_digest(docs)) == one
+
+
+def test_pieces_and_chunks_are_bounded():
+    import pyarrow as pa
+
+    from tensorloom.llm import text
+
+    batch = pa.RecordBatch.from_pydict({"text": ["ab"] * 10 + [None] * 300 + ["x" * 50] + [""] * 5})
+    sizes = [len(t or "") for t in batch.column(0).to_pylist()]
+    cut = list(repeats.pieces(batch, sizes, 10, 100))
+    assert sum(p.num_rows for p in cut) == 316 and max(p.num_rows for p in cut) <= 100
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(0).to_pylist()) <= 10 for p in cut)
+    got = list(text.chunks(iter([batch, batch]), "text", 20, 64))
+    assert sum(t.num_rows for t, _, _ in got) == 632 and max(t.num_rows for t, _, _ in got) <= 64 and all(t.num_rows == 1 or len(b) <= 20 for t, b, _ in got)
+    assert [t for x, _, _ in got for t in x.column("text").to_pylist()] == batch.column(0).to_pylist() * 2
+
+
 def test_ngram_jaccard(docs):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []

@@ -1,19 +1,27 @@
-"""N-gram Jaccard join: documents whose sets of five-word shingles have similarity 0.8 or more, exactly.
+"""N-gram Jaccard join: documents whose sets of five-word shingles have similarity 0.8 or more.
 
-1. Shingle hashes (56 bits) of every text are packed by bucket and counted (as in ``repeats``); each document gets back
-   those that other documents have too, with the count on a coarse scale. Documents of which over a fifth is their own
-   alone link with none. Hot shingles, found before by ``hot_shingles``, skip the buckets: they count as most frequent
-   everywhere, so a bucket holds no more than twice its share of any one shingle. Any common order of shingles is right.
+1. Shingle hashes (56 bits) of every text are packed by bucket and counted (dealt as in ``repeats``, in two steps beyond
+   ``FAN`` buckets); each document gets back those that other documents have too, with the count on a coarse scale.
+   Documents of which over a fifth is their own alone link with none. Hot shingles, found before by ``hot_shingles``, skip
+   the buckets: they count as most frequent everywhere, so a bucket holds no more than twice its share of any one shingle.
+   Any common order of shingles is right.
 2. Equal sets become one class, stood for by its smallest id. Of each class, the shingles that come first by (rarity,
-   hash) form the prefix: two linked sets share one in it. Classes that share such a shingle meet in its group.
+   hash) form the prefix: two linked sets share one in it. Classes that share such a shingle meet in its group; of groups
+   with the same members one is kept.
 3. Signature trees: the nodes of a group's tree hold the OR of their members' shingle bitmaps, the range of sizes and the
-   component, if it is one. A dual traversal prunes node pairs by maximum possible overlap, by size and, once they are in
-   one component, altogether. Its first round pairs each member with its group's first, the second all that is left.
-   Groups of over ``GROUP`` members are dealt out as pairs of blocks.
-4. Candidates are checked on whole sets; components of the links give each document's component id.
+   component, if it is one. All candidates come from traversals of these trees, which prune node pairs by maximum possible
+   overlap and by size. The first traversal goes along the tree's own edges and pairs each node's first member with its
+   parent's, so that groups of copies become one component from as many pairs as members; the second, a dual traversal,
+   takes all node pairs that are not yet in one component. Groups of over ``GROUP`` members are dealt out as blocks, in the
+   first traversal each with the group's first member, in the second as pairs of blocks.
+4. Candidates are checked on whole sets of hashes; components of the links give each document's component id.
+
+Equality of shingles is equality of 56-bit hashes: two different sets of n shingles have a false common one with a chance of
+n*n/2**56 (4e-12 for 500), and only a pair that misses the threshold by that one shingle changes.
 
 Null and empty texts have no shingles and link with nothing; fewer than five words are one shingle. Rows that share an id
-are one document; rows with null ids link with none. Very long texts are one chunk each.
+are one document, whose set is the union of theirs; rows with null ids link with none. Very long texts are one chunk each;
+a document's set, and the distinct texts of one id, are held by one task.
 """
 
 from __future__ import annotations
@@ -27,10 +35,11 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm import text as tx
 from tensorloom.llm.graph import checkpointed, components
-from tensorloom.llm.repeats import SLOT, bucket_count, cut_binary, from_slots, pack, pack_small, to_slots, unpack, unpack_small
+from tensorloom.llm import repeats
+from tensorloom.llm.repeats import BROADCAST_IDS, SLOT, bucket_count, from_slots, pack, pack_small, to_slots, unpack, unpack_small
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
-BITS, GROUP, FANOUT, BROADCAST_PAIRS, BROADCAST_CLASSES = 2048, 2048, 8, 200_000, 2_000_000
+BITS, GROUP, FANOUT, BROADCAST_PAIRS, BROADCAST_CLASSES = 2048, 1024, 8, 200_000, 2_000_000
 #: The smallest share of all occurrences that makes a shingle hot, which bounds the broadcast to 1.4 million numbers.
 LEAST_SHARE = 2.0**-20
 
@@ -89,39 +98,111 @@ def hot_shingles(slim: DataFrame, buckets: int) -> np.ndarray:
     return np.sort(hot.column("h").to_numpy().astype(np.uint64))
 
 
-BLOCK = "bucket int, n long, ids binary, hashes binary, docs binary, sums binary"
-HOT = np.uint64(255 << 56)
+BLOCK = "bucket long, n long, ids binary, hashes binary, docs binary, sums binary"
+HOT, SIGN = np.uint64(255 << 56), np.uint64(1 << 63)
+
+
+def _ids(raw: bytes) -> np.ndarray:
+    return (unpack(raw) - SIGN).view(np.int64)
+
+
+def _edges(lo: int, hi: int, parts: int) -> np.ndarray:
+    return (np.arange(lo + 1, hi, dtype=object) * (1 << 56) // parts).astype(np.uint64)
+
+
+def _block(bucket: int, sign: int, h: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> tuple:
+    """Ascending hashes and the document of each, by its number among the block's own (in order of id)."""
+    have, local = np.unique(doc, return_inverse=True)
+    own = ids[have]
+    by = np.argsort(own)
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    return bucket, sign * len(h), pack(own[by].view(np.uint64) + SIGN), pack(h), pack_small(rank[local], 1 if len(have) < 256 else 2 if len(have) < 65536 else 4), b""
+
+
+def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64], strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "n", "ids", "hashes", "docs", "sums"])
+
+
+def _deal(ids: np.ndarray, h: np.ndarray, doc: np.ndarray, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents' sets (hashes by document), and a row with the documents' sizes and sums."""
+    sums = [np.bincount(doc, minlength=len(ids)).astype(np.uint64)]
+    for salt in (1, 2):
+        total = np.r_[np.zeros(1, np.uint64), np.cumsum(tx.mix(h + np.uint64(salt << 60)), dtype=np.uint64)]
+        cut = np.searchsorted(doc, np.arange(len(ids) + 1))
+        sums.append(total[cut[1:]] - total[cut[:-1]])
+    rows: list[tuple] = [(int(ids[0]) % buckets, 0, ids.tobytes(), b"", b"", np.stack(sums).tobytes())]
+    order = np.argsort(h, kind="stable")
+    h, doc = h[order], doc[order]
+    if len(hot) and len(h):
+        often = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+        if often.any():
+            rows.append(_block(rows[0][0], -1, h[often], doc[often], ids))
+            h, doc = h[~often], doc[~often]
+    cuts = np.r_[0, np.searchsorted(h, _edges(0, buckets, buckets)), len(h)]
+    rows += [_block(b, 1, h[cuts[b] : cuts[b + 1]], doc[cuts[b] : cuts[b + 1]], ids) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+    yield from _batches(rows)
 
 
 def _blocks(buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edge = (np.arange(1, buckets, dtype=object) * (1 << 56) // buckets).astype(np.uint64)
+        for table, buf, offs in tx.chunks(batches, "text", 4 << 20):
+            yield from _deal(table.column("id").to_numpy(), *shingles(buf, offs), buckets, hot)
+
+    return run
 
-        def block(bucket: int, sign: int, h: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> tuple:
-            have, local = np.unique(doc, return_inverse=True)
-            return bucket, sign * len(h), ids[have].tobytes(), pack(h), pack_small(local, 1 if len(have) < 256 else 2 if len(have) < 65536 else 4), b""
 
+def _united(buckets: int, hot: np.ndarray):
+    """``_blocks`` of rows in order of id, in which rows of one id are one document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
         for table, buf, offs in tx.chunks(batches, "text", 4 << 20):
-            ids = table.column("id").to_numpy()
-            h, doc = shingles(buf, offs)
-            size = np.bincount(doc, minlength=len(ids)).astype(np.uint64)
-            sums = [size]
-            for salt in (1, 2):
-                total = np.r_[np.zeros(1, np.uint64), np.cumsum(tx.mix(h + np.uint64(salt << 60)), dtype=np.uint64)]
-                cut = np.searchsorted(doc, np.arange(len(ids) + 1))
-                sums.append(total[cut[1:]] - total[cut[:-1]])
-            rows: list[tuple] = [(int(ids[0]) % buckets, 0, ids.tobytes(), b"", b"", np.stack(sums).tobytes())]
+            ids, (h, doc) = table.column("id").to_numpy(), shingles(buf, offs)
+            cuts = np.flatnonzero(np.r_[True, np.diff(ids) != 0, True])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if parts and ids[a] != now:
+                    whole = np.unique(np.concatenate(parts))
+                    yield from _deal(np.array([now]), whole, np.zeros(len(whole), np.int64), buckets, hot)
+                    parts = []
+                now = ids[a]
+                lo, hi = np.searchsorted(doc, [a, b])
+                parts = [np.unique(np.concatenate([*parts, h[lo:hi]]))]
+        if parts:
+            yield from _deal(np.array([now]), parts[0], np.zeros(len(parts[0]), np.int64), buckets, hot)
+
+    return run
+
+
+def _again(ranges: int, buckets: int, most: int):
+    """From blocks of ranges, in order of these, to blocks of the buckets that each range is cut into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, now = [], 0, -1
+
+        def out() -> Iterator[pa.RecordBatch]:
+            lo, hi = now * buckets // ranges, -(-(now + 1) * buckets // ranges)
+            h, of = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            ids, doc = np.unique(of, return_inverse=True)
             order = np.argsort(h, kind="stable")
             h, doc = h[order], doc[order]
-            if len(hot) and len(h):
-                often = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
-                if often.any():
-                    rows.append(block(rows[0][0], -1, h[often], doc[often], ids))
-                    h, doc = h[~often], doc[~often]
-            cuts = np.r_[0, np.searchsorted(h, edge), len(h)]
-            rows += [block(b, 1, h[cuts[b] : cuts[b + 1]], doc[cuts[b] : cuts[b + 1]], ids) for b in np.flatnonzero(np.diff(cuts)).tolist()]
-            for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64], strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "n", "ids", "hashes", "docs", "sums"])
+            cuts = np.r_[0, np.searchsorted(h, _edges(lo, hi, buckets)), len(h)]
+            yield from _batches([_block(lo + b, 1, h[cuts[b] : cuts[b + 1]], doc[cuts[b] : cuts[b + 1]], ids) for b in np.flatnonzero(np.diff(cuts)).tolist()])
+
+        for batch in batches:
+            for i, (part, size, ids, hashes, docs, _) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if size <= 0:
+                    yield batch.slice(i, 1)
+                    continue
+                if held and (part != now or n >= most):
+                    yield from out()
+                    held, n = [], 0
+                now = part
+                held.append((unpack(hashes), _ids(ids)[unpack_small(docs, size)]))
+                n += size
+        if held:
+            yield from out()
 
     return run
 
@@ -134,7 +215,8 @@ def _shared(table: pa.Table, slots: int) -> pa.Table:
     """A bucket's hashes that more than one document has, dealt back to slots of documents, with documents' own rows."""
     out_ids, out, hashes, ids = [], [], [], []
     for n, i, h, d, s in zip(*(c.combine_chunks() for c in table.columns[1:]), strict=True):
-        n, i = n.as_py(), np.frombuffer(i.as_py(), np.int64)
+        n = n.as_py()
+        i = _ids(i.as_py()) if n else np.frombuffer(i.as_py(), np.int64)
         if n < 0:
             out_ids.append(i[unpack_small(d.as_py(), -n)])
             out.append(HOT | unpack(h.as_py()))
@@ -169,11 +251,9 @@ def _documents(table: pa.Table) -> pa.Table:
     rows: list[tuple] = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         mine = values[a:b]
-        # rows that share an id: the last one's own values, all their hashes
-        at = np.flatnonzero(mine == 0)
-        at = at[np.r_[True, np.diff(at) > KINDS]] if len(at) else at
-        own = mine[at[-1] + 1 : at[-1] + 1 + KINDS]
-        toks = np.unique(np.delete(mine, (at[:, None] + np.arange(KINDS + 1)).ravel()))
+        at = int(np.flatnonzero(mine == 0)[0])
+        own = mine[at + 1 : at + 1 + KINDS]
+        toks = np.sort(np.delete(mine, at + np.arange(KINDS + 1)))
         n = int(own[0])
         near = n > 0 and len(toks) * DENOMINATOR >= n * NUMERATOR
         rows.append((int(ids[a]), n, int(own[1].astype(np.int64)), int(own[2].astype(np.int64)), toks.tobytes() if near else None))
@@ -204,17 +284,53 @@ def bitmap(toks: bytes) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def _levels(bits: np.ndarray, size: np.ndarray, shared: np.ndarray, comp: np.ndarray, side: np.ndarray) -> list[tuple]:
+    """A signature tree over members in order, leaves first: bitmap, sizes' range, most that a bitmap hides, components, sides."""
+    level = [(bits, size, size, shared - np.bitwise_count(bits).sum(1, dtype=np.int64), comp, comp, side, side)]
+    while len(level[-1][1]) > 1:
+        b, lo, hi, loss, c0, c1, s0, s1 = level[-1]
+        cut = np.arange(0, len(lo), FANOUT)
+        level.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(loss, cut), np.minimum.reduceat(c0, cut), np.maximum.reduceat(c1, cut), np.minimum.reduceat(s0, cut), np.maximum.reduceat(s1, cut)))
+    return level
+
+
+def _may_overlap(nodes: tuple, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which node pairs may hold a link: an overlap of 0.8 / 1.8 of the sizes' sum at least."""
+    bit, lo, _, loss = nodes[:4]
+    keep = np.zeros(len(a), bool)
+    for i in range(0, len(a), 1 << 14):
+        x, y = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
+        most = np.bitwise_count(bit[x] & bit[y]).sum(1, dtype=np.int64) + np.minimum(loss[x], loss[y])
+        keep[i : i + (1 << 14)] = most * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (lo[x] + lo[y])
+    return keep
+
+
+def edge_pairs(size: np.ndarray, shared: np.ndarray, bits: np.ndarray, first: int) -> np.ndarray:
+    """Pairs of member numbers along the tree's edges: of each node's first member and its first sibling's, where they may link.
+
+    The member ``first`` comes first of all, the others by their bitmaps, so that like ones are near each other.
+    """
+    order = np.lexsort((size, bits[:, 0], np.arange(len(size)) != first))
+    nothing = np.zeros(len(order), np.int64)
+    leaves = _levels(bits[order], size[order], shared[order], nothing, nothing)[0]
+    out, step, n = [], 1, len(order)
+    while step < n:
+        b = np.arange(0, n, step)
+        a = b - b % (step * FANOUT)
+        a, b = a[a != b], b[a != b]
+        ok = (np.minimum(leaves[1][a], leaves[1][b]) * DENOMINATOR >= np.maximum(leaves[1][a], leaves[1][b]) * NUMERATOR) & _may_overlap(leaves, a, b)
+        out.append(np.stack([order[a[ok]], order[b[ok]]], 1))
+        step *= FANOUT
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
 def tree_pairs(rep: np.ndarray, size: np.ndarray, shared: np.ndarray, comp: np.ndarray, bits: np.ndarray, side: np.ndarray) -> np.ndarray:
     """Pairs of member numbers that may link, found by a dual traversal of the signature tree over the members.
 
     ``shared``: how many shingles the bitmap stands for; ``side`` (0 or 1): when both occur, only pairs across count.
     """
     order = np.lexsort((size, comp, side))
-    level = [(bits[order], size[order], size[order], shared[order] - np.bitwise_count(bits[order]).sum(1, dtype=np.int64), comp[order], comp[order], side[order], side[order])]
-    while len(level[-1][1]) > 1:
-        b, lo, hi, loss, c0, c1, s0, s1 = level[-1]
-        cut = np.arange(0, len(lo), FANOUT)
-        level.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(loss, cut), np.minimum.reduceat(c0, cut), np.maximum.reduceat(c1, cut), np.minimum.reduceat(s0, cut), np.maximum.reduceat(s1, cut)))
+    level = _levels(bits[order], size[order], shared[order], comp[order], side[order])
     across = side.min() != side.max()
     a = b = np.zeros(1, np.int64)
     for depth in range(len(level) - 1, -1, -1):
@@ -231,20 +347,29 @@ def tree_pairs(rep: np.ndarray, size: np.ndarray, shared: np.ndarray, comp: np.n
         if across:
             ok &= ~((s0[a] == s1[a]) & (s0[b] == s1[b]) & (s0[a] == s0[b]))
         a, b = a[ok], b[ok]
-        keep = np.zeros(len(a), bool)
-        for i in range(0, len(a), 1 << 14):  # overlap >= 0.8 / 1.8 of the sizes' sum at least
-            x, y = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
-            most = np.bitwise_count(bit[x] & bit[y]).sum(1, dtype=np.int64) + np.minimum(loss[x], loss[y])
-            keep[i : i + (1 << 14)] = most * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (lo[x] + lo[y])
+        keep = _may_overlap(level[depth], a, b)
         a, b = a[keep], b[keep]
     ok = a != b
     return np.stack([order[a[ok]], order[b[ok]]], 1)
 
 
+def _edges_of(table: pa.Table) -> pa.Table:
+    """The first traversal over a block of a group."""
+    rep, size, shared, head = (table.column(c).to_numpy() for c in ("rep", "n", "shared", "head"))
+    return _pairs(rep[edge_pairs(size, shared, _bitmaps(table), int(np.flatnonzero(rep == head[0])[0]))])
+
+
 def _group(table: pa.Table) -> pa.Table:
+    """The second traversal over a block or a pair of blocks of a group."""
     rep, size, shared, comp, side = (table.column(c).to_numpy() for c in ("rep", "n", "shared", "comp", "side"))
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(rep), -1)
-    pairs = rep[tree_pairs(rep, size, shared, comp, bits, side)]
+    return _pairs(rep[tree_pairs(rep, size, shared, comp, _bitmaps(table), side)])
+
+
+def _bitmaps(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+
+
+def _pairs(pairs: np.ndarray) -> pa.Table:
     pairs.sort(axis=1)
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
@@ -276,8 +401,21 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Per row of ``docs``: id_col, n_shingles, component_id (the smallest id reachable by links, its own included)."""
     slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     slots = bucket_count(docs, text_col)
-    some = slim.where("id is not null")
-    blocks = some.mapInArrow(_blocks(slots, hot_shingles(some, slots)), BLOCK)
+    ranges, some = min(slots, repeats.FAN), slim.where("id is not null")
+    hot = hot_shingles(some, slots)
+    often = checkpointed(some.groupBy("id").count().where("count > 1").select("id"))
+    many = often.count()
+    if many:
+        often = F.broadcast(often) if many <= BROADCAST_IDS else often
+        blocks = some.join(often, "id", "left_anti").select("id", "text").mapInArrow(_blocks(ranges, hot), BLOCK)
+        shared = some.join(often, "id", "left_semi").select("id", "text").distinct()
+        blocks = blocks.union(shared.repartition("id").sortWithinPartitions("id").mapInArrow(_united(ranges, hot), BLOCK))
+    else:
+        blocks = some.mapInArrow(_blocks(ranges, hot), BLOCK)
+    if slots > ranges:
+        # a range is merged by several tasks, as any of its blocks may be merged with any other
+        tasks = -(-slots // 8)
+        blocks = blocks.repartition(tasks, "bucket", F.pmod(F.xxhash64("hashes"), F.lit(-(-tasks // ranges)))).sortWithinPartitions("bucket").mapInArrow(_again(ranges, slots, repeats.WINDOWS), BLOCK)
     dealt = blocks.groupBy("bucket").applyInArrow(lambda t: _shared(t, slots), SLOT)
     all_docs = checkpointed(dealt.groupBy("slot").applyInArrow(_documents, "id long, n long, s1 long, s2 long, toks binary"))
     classes = all_docs.where("toks is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
@@ -286,14 +424,9 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     reps = F.broadcast(reps) if classes.count() <= BROADCAST_CLASSES else reps
     sets = checkpointed(all_docs.join(reps, F.col("id") == F.col("rep"), "left_semi").select(F.col("id").alias("rep"), "n", "toks"))
     rows = sets.mapInArrow(_prefixes, "rep long, n long, tok long")
-    count = rows.groupBy("tok").agg(F.count("*").alias("members"), F.min("rep").alias("head"), F.min("n").alias("least"), F.max("n").alias("most")).where("members > 1")
-    groups = checkpointed(rows.join(count, "tok"))
-    heads = groups.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    links = checkpointed(_check(heads, sets))
-    comp = components(links)
-    # second round: members of groups that are not yet one component
-    marked = groups.join(comp, groups.rep == comp.v, "left").select("tok", "rep", "n", "members", F.coalesce("comp", "rep").alias("comp"))
-    open_ = marked.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tok")
+    # of groups with the same members, as copies make them, one is enough
+    same = rows.groupBy("tok").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2"), F.min("rep").alias("head")).where("members > 1")
+    count = same.groupBy("members", "x1", "x2", "head").agg(F.min("tok").alias("tok")).select("tok", "members", "head")
 
     @F.pandas_udf("binary")
     def bits(toks):
@@ -301,11 +434,21 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         return pd.Series([bitmap(t) for t in toks], dtype=object)
 
-    signed = sets.select(F.col("rep").alias("srep"), bits("toks").alias("bits"), (F.octet_length("toks") / 8).cast("long").alias("shared"))
-    members = marked.join(open_, "tok").join(signed, F.col("rep") == F.col("srep"))
+    signed = sets.select(F.col("rep").alias("srep"), "n", bits("toks").alias("bits"), (F.octet_length("toks") / 8).cast("long").alias("shared"))
+    groups = checkpointed(rows.select("tok", "rep").join(count, "tok"))
     blocks_of = F.ceil(F.col("members") / GROUP).cast("int")
-    placed = members.withColumn("k", blocks_of).withColumn("mine", F.pmod(F.xxhash64("rep"), "k").cast("int"))
-    dealt_out = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cut = groups.withColumn("k", blocks_of).withColumn("mine", F.pmod(F.xxhash64("rep"), "k").cast("int"))
+    # first traversal: every block with the group's first member
+    every = F.sequence(F.lit(0), F.col("k") - 1)
+    apart = cut.withColumn("i", F.explode(F.when(F.col("rep") == F.col("head"), every).otherwise(F.array("mine"))))
+    near = apart.select("tok", "i", "rep", "head").join(signed, F.col("rep") == F.col("srep")).select("tok", "i", "rep", "head", "n", "shared", "bits")
+    links = checkpointed(_check(near.groupBy("tok", "i").applyInArrow(_edges_of, "a long, b long").distinct(), sets))
+    comp = components(links)
+    # second traversal: groups that are not yet one component
+    marked = cut.join(comp, cut.rep == comp.v, "left").select("tok", "rep", "k", "mine", F.coalesce("comp", "rep").alias("comp"))
+    open_ = marked.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tok")
+    members = marked.join(open_, "tok").join(signed, F.col("rep") == F.col("srep"))
+    dealt_out = members.withColumn("other", F.explode(every))
     dealt_out = dealt_out.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other"), "side": F.when(F.col("mine") > F.col("other"), 1).otherwise(0)})
     more = dealt_out.select("tok", "i", "j", "rep", "n", "shared", "comp", "side", "bits").groupBy("tok", "i", "j").applyInArrow(_group, "a long, b long").distinct()
     links = links.union(_check(more, sets))

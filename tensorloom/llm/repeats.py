@@ -1,7 +1,7 @@
 """Windows of units (words, lines) that occur earlier in the corpus, found by a shuffle of packed hashes.
 
 Every window of k consecutive units of every text gets a 64-bit Rabin-Karp hash. A map over chunks of texts keeps, for
-each hash, its earliest window among some ``WINDOWS`` windows (the others are repeats already) and packs these by range of
+each hash, its earliest window among about ``WINDOWS`` windows (the others are repeats already) and packs these by range of
 the hash: sorted, as differences, in as few bytes as hold them, with a place of 3 or 4 bytes and the documents that the
 block has windows of. So a window that a third of all texts share is sent once per chunk, and no bucket grows with one hot
 hash. Each bucket finds the hashes of more than one block, keeps the earliest by (id, start) and reports the other starts
@@ -32,7 +32,7 @@ from tensorloom.llm.graph import checkpointed, fresh
 
 BUCKET_BYTES = 16 << 20
 #: Windows that blocks are cut from together; buckets, or ranges of buckets, that one step deals to.
-WINDOWS, FAN = 2_000_000, 2048
+WINDOWS, FAN = 1_000_000, 2048
 
 
 @dataclass(frozen=True)

@@ -169,6 +169,38 @@ def test_ngram_jaccard(docs):
     assert by_id(ngram_jaccard.linked_documents(docs)) == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, comp))}
 
 
+def brute_components(rows):
+    """(id, size, component) of every row, in any order; rows of one id are one set."""
+    low, sets = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)}), {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(low))
+        if i is not None:
+            sets.setdefault(i, set()).update({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()})
+    comp = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if i < j and both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((comp[i], comp[j]))
+                comp = {k: a if c == b else c for k, c in comp.items()}
+    return sorted(str((i, len(sets[i]), comp[i]) if i is not None else (None, 0, None)) for i, _ in rows)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 4])
+@pytest.mark.parametrize("fan", [repeats.FAN, 2])
+def test_jaccard_of_rows_that_share_an_id(spark, monkeypatch, parts, fan):
+    monkeypatch.setattr(repeats, "FAN", fan)
+    monkeypatch.setattr(ngram_jaccard, "GROUP", 4)
+    rng = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(200)]
+    say = lambda n: list(rng.choice(words, n))
+    base = say(100)
+    rows = [(i, " ".join(base[:90] + say(rng.integers(0, 14)))) for i in range(25)] + [(i, " ".join(base[:40] + say(60))) for i in range(30, 40)]
+    rows += [(2, " ".join(say(30))), (2, rows[2][1]), (3, rows[3][1]), (3, None), (50, None), (50, ""), (None, rows[0][1]), (-5, " ".join(base[:95])), (51, "one two"), (52, "One  two"), (51, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assert sorted(str(tuple(r)) for r in ngram_jaccard.linked_documents(docs).collect()) == brute_components(rows)
+
+
 def test_frequent_finds_every_hot_hash():
     rng = np.random.default_rng(4)
     parts = [np.r_[rng.integers(100, 1 << 40, 900), np.repeat(np.arange(4), [1, 3, 30, 66])].astype(np.uint64) for _ in range(40)]
@@ -177,6 +209,22 @@ def test_frequent_finds_every_hot_hash():
     assert [len(x) for x in ngram_jaccard.frequent(iter([]), 0.02)[:2]] == [0, 0]
 
 
+def test_edge_pairs_connect_copies():
+    """Near copies become one component from fewer pairs than members; strangers give no pair."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 55, 300)
+    sets = [np.unique(np.r_[base[rng.random(300) > 0.02], rng.integers(0, 1 << 55, 3)]).astype(np.uint64) for _ in range(100)]
+    sets += [np.unique(rng.integers(0, 1 << 55, 300)).astype(np.uint64) for _ in range(20)]
+    bits = np.frombuffer(b"".join(ngram_jaccard.bitmap(s.tobytes()) for s in sets), np.uint64).reshape(120, -1)
+    size = np.array([len(s) for s in sets])
+    pairs = ngram_jaccard.edge_pairs(size, size, bits, 7)
+    comp = np.arange(120)
+    for a, b in pairs:
+        comp[comp == comp[b]] = comp[a]
+    assert len(pairs) < 120 and pairs.max() < 100 and len(np.unique(comp[:100])) < 25
+    assert len(ngram_jaccard.edge_pairs(size[:1], size[:1], bits[:1], 0)) == 0
+
+
 def test_tree_pairs_keep_every_link():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 55, 100)

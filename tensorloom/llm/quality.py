@@ -5,9 +5,11 @@ ASCII stands for itself), plus how often a word follows itself. Logged, weighted
 the labelled sample, it becomes a short unit vector. The sample's vectors and labels are broadcast; each text's cosines
 with all of them come from blocked matrix products, and the nearest ``NEIGHBOURS`` vote by similarity.
 
-The sample has at most ``SAMPLE`` labelled training rows; its size bounds the broadcast (about 2 MB). Weights and
-projection are part of the fit, so they come from the sample too. Null and empty texts have no vector and score the
-sample's mean label; without any labels every score is 0.5. Rows are scored alone and whole.
+The sample has at most ``SAMPLE`` labelled training rows with ``SAMPLE_BYTES`` of text; that bounds the broadcast (about 2
+MB). Weights and projection are part of the fit, so they come from the sample too. Null and empty texts have no vector and
+score the sample's mean label; without any labels every score is 0.5. Rows are scored alone and whole, ``ROWS`` at a time,
+so rows that share an id or are equal each get the score of their own text; rows with a null id are scored and not held
+out. Of neighbours of one similarity (to six digits) those that come first in the sample vote. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.llm import text as tx
-from tensorloom.llm.labelled import remainder, scored, training_rows
+from tensorloom.llm.labelled import featured, remainder, scored, training_rows
 
-SAMPLE = 4096
+SAMPLE, SAMPLE_BYTES = 4096, 64 << 20
 SHAPES, WORDS, REPEATS = 2048, 1024, 8
 WIDTH = SHAPES + WORDS + REPEATS
 LATENT, NEIGHBOURS, SHARPNESS = 48, 15, 4
@@ -56,14 +58,13 @@ def counts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def latent(rows: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Unit vectors of counted texts; zero for a text without features."""
-    v = (rows * weights) @ basis
+    v = (rows * weights.astype(np.float64)) @ basis.astype(np.float64)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table, buf, offs in tx.chunks(batches, "text", 1 << 20):
-        x = counts(buf, offs).astype(np.float16)
-        yield pa.RecordBatch.from_arrays([table.column("label").combine_chunks(), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
+    for table, buf, offs in tx.chunks(batches, "text", 1 << 20, 512):
+        yield featured(table, [r.tobytes() for r in counts(buf, offs).astype(np.float16)])
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> dict:
@@ -81,11 +82,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> dict:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
     """The model of labels.quality, from rows whose crc32(doc_id) mod 3 is not 1; None without any."""
-    rows = training_rows(docs, labels, "quality", lambda i: remainder(i, 3) != 1, sample).mapInArrow(_rows, "label int, x binary").collect()
-    if not rows:
+    rows = training_rows(docs, labels, "quality", lambda i: remainder(i, 3) != 1, sample, SAMPLE_BYTES, _rows)
+    if not rows.num_rows:
         return None
-    rows = sorted((bytes(r["x"]), r["label"]) for r in rows)
-    return fit(np.stack([np.frombuffer(r[0], np.float16).astype(np.float32) for r in rows]), np.array([r[1] for r in rows]))
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float16).reshape(rows.num_rows, -1)
+    return fit(x.astype(np.float32), rows.column("label").to_numpy())
 
 
 def vote(model: dict, x: np.ndarray) -> np.ndarray:
@@ -95,7 +96,9 @@ def vote(model: dict, x: np.ndarray) -> np.ndarray:
     for at in range(0, len(x), 512):
         v = latent(x[at : at + 512], model["weights"], model["basis"])
         cosine = v @ model["vectors"].T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        # by cosine to six digits, then by place in the sample, so that no rounding of a product decides who votes
+        order = -np.round(cosine * 1e6).astype(np.int64) * cosine.shape[1] + np.arange(cosine.shape[1])
+        near = np.argpartition(order, k - 1, axis=1)[:, :k]
         w = np.clip(np.take_along_axis(cosine, near, 1), 0, 1).astype(float) ** SHARPNESS
         total = w.sum(1)
         out[at : at + 512] = np.where(total > 0, (w * model["labels"][near]).sum(1) / np.maximum(total, 1e-12), model["prior"])

@@ -2,7 +2,8 @@
 
 Features of a text are the set of its hashed words, word pairs and pairs with one word between, lower-cased, and a bias.
 FTRL-proximal keeps a learning rate per coordinate; its L1 term leaves few weights other than zero, and those are what
-executors get: sorted feature numbers and weights. The sample has at most ``SAMPLE`` labelled training rows.
+executors get: sorted feature numbers and weights. The sample has at most ``SAMPLE`` labelled training rows with
+``SAMPLE_BYTES`` of text; the features of so much come to the driver, 12 bytes a word.
 
 Null and empty texts score by the bias alone. Words are runs of ASCII letters, digits and bytes from 0x80. Texts are whole;
 repeated rows score alike; null ids are kept; without any labels every score is 0.5.
@@ -18,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.llm import text as tx
-from tensorloom.llm.labelled import remainder, scored, training_rows
+from tensorloom.llm.labelled import ROWS, featured, remainder, scored, training_rows
 
-SAMPLE = 8192
+SAMPLE, SAMPLE_BYTES = 8192, 48 << 20
 DIMENSIONS = 1 << 22
-ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 12.0, 0.0, 8
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 24.0, 0.0, 8
+#: How many times a toxic row counts, as there are few of them.
+TOXIC = 4.0
 
 
 def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,12 +44,12 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table, buf, offs in tx.chunks(batches, "text"):
+    for table, buf, offs in tx.chunks(batches, "text", 4 << 20, ROWS):
         at, doc = features(buf, offs)
         key = np.unique(doc * DIMENSIONS + at)
         cut = np.searchsorted(key, np.arange(len(offs)) * DIMENSIONS)
         at = (key % DIMENSIONS).astype("<i4")
-        yield pa.RecordBatch.from_arrays([table.column("label").combine_chunks(), pa.array([at[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["label", "at"])
+        yield featured(table, [at[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)])
 
 
 def fit(rows: list[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +63,7 @@ def fit(rows: list[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> tuple[np.nd
     for _ in range(epochs):
         for y, at in rows:
             w = weight(at)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+            g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y) * (TOXIC if y else 1.0)
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
             n[at] += g * g
     at = np.flatnonzero(np.abs(z) > L1)
@@ -69,10 +72,10 @@ def fit(rows: list[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> tuple[np.nd
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Weights of labels.toxic, from rows whose crc32(doc_id) mod 5 is not 0."""
-    rows = training_rows(docs, labels, "toxic", lambda i: remainder(i, 5) != 0, sample).mapInArrow(_sets, "label int, at binary").collect()
-    order = sorted((r["label"], bytes(r["at"])) for r in rows)  # the same order however the rows arrive
-    by = np.random.default_rng(7).permutation(len(order))
-    return fit([(order[i][0], np.frombuffer(order[i][1], "<i4").astype(np.int64)) for i in by])
+    rows = training_rows(docs, labels, "toxic", lambda i: remainder(i, 5) != 0, sample, SAMPLE_BYTES, _sets)
+    by = np.random.default_rng(7).permutation(rows.num_rows)
+    label, sets = rows.column("label").to_numpy(), rows.column("x")
+    return fit([(int(label[i]), np.frombuffer(sets[int(i)].as_buffer(), "<i4")) for i in by])
 
 
 def scorer(model: tuple[np.ndarray, np.ndarray]):
@@ -101,7 +104,7 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame
     of = scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, buf, offs in tx.chunks(batches, "text", 4 << 20):
+        for table, buf, offs in tx.chunks(batches, "text", 4 << 20, ROWS):
             n_words = np.diff(np.searchsorted(tx.spans(buf, offs, tx.ITEM_WORDS)[0], offs))
             stay = pa.array((of(buf, offs) < 0.5) | (n_words == 0))
             yield from table.filter(stay).to_batches()

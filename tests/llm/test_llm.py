@@ -285,6 +285,89 @@ def test_classifiers(spark, docs):
     assert toxicity.accepted(table, toxicity.train(table, labels)).count() == 60
 
 
+def test_vote_equals_plain_nearest_neighbours():
+    rng = np.random.default_rng(2)
+    say = lambda: " ".join(rng.choice([f"w{i}" for i in range(50)] + ["A1", "b!", "--"], int(rng.integers(1, 60)))).encode()
+    parts = [say() for _ in range(700)] + [b"", b"x"]
+    buf, offs = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+    x, y = quality.counts(buf, offs), rng.integers(0, 2, len(parts))
+    model = quality.fit(x[:300], y[:300])
+    unit = quality.latent(x, model["weights"], model["basis"])
+    for i, got in enumerate(quality.vote(model, x)):
+        near = sorted(((-round(float(unit[i] @ v), 6), j, label) for j, (v, label) in enumerate(zip(model["vectors"], model["labels"]))))[: quality.NEIGHBOURS]
+        near = [(-c, label) for c, _, label in near]
+        w = [min(max(c, 0.0), 1.0) ** quality.SHARPNESS for c, _ in near]
+        want = sum(a * label for a, (_, label) in zip(w, near)) / sum(w) if sum(w) > 0 else model["prior"]
+        assert abs(got - want) < 1e-5, i
+    # counts of texts do not depend on what else is in the chunk
+    for i in (0, 5, 699, 700, 701):
+        assert np.array_equal(quality.counts(np.frombuffer(parts[i], np.uint8), np.array([0, len(parts[i])]))[0], x[i])
+
+
+def test_fit_equals_scalar_ftrl():
+    rng = np.random.default_rng(9)
+    rows = [(int(y), np.unique(rng.integers(0, 40, 12) + (5 * y))) for y in rng.integers(0, 2, 400)]
+    z, n = dict.fromkeys(range(60), 0.0), dict.fromkeys(range(60), 0.0)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= toxicity.L1 else -(z[i] - np.sign(z[i]) * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for y, at in rows:
+            w = {i: weight(i) for i in at.tolist()}
+            g = (1 / (1 + np.exp(-sum(w.values()))) - y) * (toxicity.TOXIC if y else 1)
+            for i in w:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in z if abs(z[i]) > toxicity.L1}
+    numbers, weights = toxicity.fit(rows)
+    assert numbers.tolist() == sorted(want) and np.allclose(weights, [want[i] for i in sorted(want)])
+    # features of a text, written out
+    text, h = b"One two  one-THREE", lambda w: int(toxicity.tx.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    words, mix, m = [h(w) for w in (b"one", b"two", b"one", b"three")], lambda v: int(toxicity.tx.mix(np.array([v % 2**64], np.uint64))[0]), toxicity.DIMENSIONS - 1
+    pairs = [mix(a * (2 * gap + 1) + mix(b + gap)) for gap in (1, 2) for a, b in zip(words, words[gap:])]
+    got = set(toxicity.features(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tolist())
+    assert got == {0, *(1 + v % m for v in words + pairs)}
+
+
+def test_classifiers_on_held_out_labels(spark):
+    """Held-out rows of the given labels: of 4,000 labelled ones most toxic are found, and clean ones left alone."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    for mod, label, least in ((quality, "quality", 0.97), (toxicity, "toxic", 0.8)):
+        got = mod.score(docs, mod.train(docs, labels)).where("held_out").join(labels.where(f"{label} is not null"), "doc_id").select("predicted", label).collect()
+        ones = [r["predicted"] for r in got if r[label] == 1]
+        zeros = [r["predicted"] for r in got if r[label] == 0]
+        assert len(ones) > 20 and len(zeros) > 20 and np.mean(ones) > least and np.mean(zeros) < 0.01, (label, np.mean(ones), np.mean(zeros))
+
+
+def test_classifiers_on_odd_tables(spark, monkeypatch):
+    """Empty tables, repeated rows and ids, equal rows by the thousand, and long labelled texts under a small bound."""
+    none, no_labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = [(i, f"{'bad awful' if i % 2 else 'fine good'} words {i % 7} here") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(60)] * 2, "doc_id long, quality int, toxic int")
+    for mod in (quality, toxicity):
+        assert mod.score(none, mod.train(none, no_labels)).count() == 0 and mod.score(none, mod.train(none, labels)).count() == 0
+        once = mod.score(spark.createDataFrame(rows, "doc_id long, text string"), mod.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)).collect()
+        often = spark.createDataFrame(rows + rows[:1] * 2000, "doc_id long, text string").repartition(3)
+        again = mod.score(often, mod.train(often, labels)).collect()
+        assert len(again) == 2060 and all(abs({r["doc_id"]: r["score"] for r in once}[r["doc_id"]] - r["score"]) < 1e-9 for r in again)
+        # 60 texts of 100 kB, of which the bound lets some in
+        monkeypatch.setattr(mod, "SAMPLE_BYTES", 1_000_000)
+        long = spark.createDataFrame([(i, (t + " ") * 4500) for i, t in rows], "doc_id long, text string")
+        assert all(0 <= r["score"] <= 1 for r in mod.score(long, mod.train(long, labels)).collect())
+
+
+def test_short_texts_by_the_hundred_thousand(spark):
+    """Null and two-letter texts are scored in blocks of a bounded number of rows."""
+    from tensorloom.llm import labelled
+
+    docs = spark.range(300_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("ab")).alias("text")).coalesce(1)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    for mod in (quality, toxicity):
+        assert mod.score(docs, mod.train(docs, labels)).where("score between 0 and 1").count() == 300_000
+    assert labelled.ROWS * quality.WIDTH * 4 < 32 << 20
+
+
 def test_ann(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((3000, 16))

@@ -4,19 +4,22 @@
 texts (n_chars follows). 3. n-gram Jaccard join: of each group of linked documents the smallest id stays.
 4. decontamination: documents with a benchmark window go. 5. SentencePiece: piece counts and id digests of what is left.
 
+Of a text that line dedup empties an empty row goes on, as a document of its own without shingles. Rows that share an id are
+told apart by line dedup, and are one document to the two stages after it: what one of them is linked by, all are.
+
 Null texts and texts without words pass the filters, as nothing speaks against them; null and empty texts have no pieces. SQL can't express the trained stage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.functions.storage import scratch
 from tensorloom.llm import decontamination, line_dedup, ngram_jaccard, sentencepiece_codec, toxicity
-from tensorloom.llm.graph import fresh, shared_folder
+from tensorloom.llm.graph import fresh
 from tensorloom.llm.queries import table, tokenizer
 
 
@@ -62,7 +65,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each keeps is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

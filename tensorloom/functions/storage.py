@@ -1,20 +1,43 @@
-"""The folder that a cluster shares, and checkpoints in it."""
+"""The folder that a cluster shares: checkpoints and scratch folders in it."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where spark.checkpoint.dir is unset."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where that is unset, one of our own, on a local master only: on a cluster it would lie on single machines.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """The URI of a new folder in the shared one, which goes when the driver's Python ends before its session does."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    atexit.register(_drop, spark, folder)
+    return folder
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped before
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

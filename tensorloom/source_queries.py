@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tensorloom import queries as q
 from tensorloom.functions.draws import rounded
-from tensorloom.functions.storage import shared_folder
+from tensorloom.functions.storage import scratch
 from tensorloom.operators import algebra as al
 from tensorloom.operators import sampling as sp
 from tensorloom.plans import als, analysis
@@ -47,7 +46,7 @@ def rebased_tensor(spark, d):
 
 def coordinate_text(spark, d):
     """The tensor written as one-based coordinate text, read again, its values set to 1."""
-    path = f"{shared_folder(spark)}/coordinates-{uuid4().hex}"
+    path = scratch(spark, "coordinates")
     ts.write_coordinates(q.psm(spark, d), path)
     back = ts.read_coordinates(spark, path)
     return ts.ones(back).df.join(back.df.withColumnRenamed("v", "w"), back.indices()).groupBy("i1").agg(F.sum("v").alias("ones"), F.sum("w").alias("total"), F.sum("i0").alias("s0"), F.sum("i2").alias("s2"))
@@ -55,7 +54,7 @@ def coordinate_text(spark, d):
 
 def temporal_text(spark, d):
     """Events written as a temporal edge list, read again with years from 2000."""
-    path = f"{shared_folder(spark)}/edges-{uuid4().hex}"
+    path = scratch(spark, "edges")
     e = _events(spark, d).select(F.concat_ws(" ", "user_id", F.length("event_type"), F.lit(3), F.unix_timestamp(F.col("ts").cast("timestamp"))))
     e.write.text(path)
     return ts.read_temporal_edges(spark, path, 2000).groupBy("u", "v", "year", "month", "day").agg(F.sum("val").alias("n"))

@@ -1,13 +1,14 @@
 """Approximate nearest neighbours (largest inner product): hierarchical k-means tree, best-bin-first, calibrated recall.
 
-The tree is fitted on a bounded sample (``SAMPLE`` vectors by a hash of the id); every row is then dealt to a leaf. A
+The tree is fitted on a bounded sample (by a hash of the id: ``SAMPLE`` vectors, or ``PER_LEAF`` for each leaf, of which
+there are one for ``LEAF`` rows and ``MOST_LEAVES`` at most); every row is then dealt to a leaf. A
 query walks the tree with a priority queue ordered by its inner product with the nodes' centres and visits leaves in
 that order. How many: ``CALIBRATION`` rows are searched by brute force over all rows, and visits widen until their true
-neighbours are found with ``TARGET`` recall. Query and leaf meet in groups of at most about ``PART`` rows: leaves that
+neighbours are found with ``TARGET`` recall; a query goes on until its leaves hold more rows than it asks for. Query and leaf meet in groups of at most about ``PART`` rows: leaves that
 hold more (one common vector, say) are dealt into parts by a hash of the id, and each query goes to all parts.
 
-Vectors that are null, zero, or hold null or non-finite components, or have another length than most, take no part;
-neither do rows with null ids. A row is no candidate of queries of its own id. Ties go to the smaller id; repeated rows
+Vectors that are null, zero, or hold null or non-finite components take no part; neither do rows with null ids. Vectors of
+different lengths have no inner product: each length that occurs is searched by itself. A row is no candidate of queries of its own id. Ties go to the smaller id; repeated rows
 each count. Scores are double-precision inner products of the original vectors.
 """
 
@@ -18,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE, CALIBRATION, TARGET = 16384, 256, 0.95
-BRANCH, LEAF, MOST_LEAVES, PART = 8, 1000, 1024, 4096
+BRANCH, LEAF, MOST_LEAVES, PER_LEAF, PART = 8, 1000, 4096, 16, 4096
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 12) -> np.ndarray:
@@ -79,19 +80,20 @@ def assign(x: np.ndarray, tree: dict) -> np.ndarray:
     return tree["leaf"][node]
 
 
-def visits(q: np.ndarray, tree: dict, most: int) -> list[list[int]]:
-    """The first ``most`` leaves of each query, best bin first."""
+def visits(q: np.ndarray, tree: dict, most: int, held: np.ndarray, least: int) -> list[list[int]]:
+    """The first ``most`` leaves of each query, best bin first, and more until they hold ``least`` rows (``held``: rows by leaf)."""
     child, count, leaf = tree["child"], tree["count"], tree["leaf"]
     out = []
     for near in q @ tree["centres"].T:
-        queue, got = [(-near[0], 0)], []
-        while queue and len(got) < most:
+        queue, got, rows = [(-near[0], 0)], [], 0
+        while queue and (len(got) < most or rows < least):
             node = heapq.heappop(queue)[1]
             if count[node]:
                 for c in range(child[node], child[node] + count[node]):
                     heapq.heappush(queue, (-near[c], c))
             else:
                 got.append(int(leaf[node]))
+                rows += held[got[-1]]
         out.append(got)
     return out
 
@@ -136,37 +138,48 @@ def packed(q_ids: np.ndarray, ids: np.ndarray, found: tuple[np.ndarray, np.ndarr
 
 
 def brute(rows: DataFrame, q: np.ndarray, q_ids: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of the exact k best of all rows for a bounded set of queries."""
+    """(query_id, rank, vec_id, score) of the exact k best of all rows for a bounded set of queries; a partition keeps its best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, best, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         for batch in batches:
             for at in range(0, batch.num_rows, PART):
                 part = batch.slice(at, PART)
                 ids = part.column(0).to_numpy()
-                yield packed(q_ids, ids, top(q, q_ids, matrix(part.column(1)), ids, k))
+                n, j, found = top(q, q_ids, matrix(part.column(1)), ids, k)
+                i, best, s = np.r_[i, n.astype(np.int64)], np.r_[best, ids[j.astype(int)]], np.r_[s, found]
+                order = np.lexsort((best, -s, i))
+                i, best, s = i[order], best[order], s[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                i, best, s = i[place < k], best[place < k], s[place < k]
+        if len(i):
+            yield packed(q_ids, best, (i, np.arange(len(i)), s))
 
     return _best(rows.mapInArrow(run, NEAR), k)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query's lists: each list has k at most, and there are as many as leaves it visited."""
-    lists = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    out = lists.select("query_id", F.posexplode("near").alias("at", "n"))
-    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "n.vec_id", "n.score")
+    """The k best of each query's lists, cut to k in every partition before they are shuffled."""
+    by_query = Window.partitionBy("query_id").orderBy("loss", "vec_id")
+    out = found.select("query_id", F.inline("near")).withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+    return out.select("query_id", "rank", "vec_id", "score")
 
 
 def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of all other rows, for rows where ``is_query(id)`` holds."""
     every = valid(rows, id_col, vector_col)
-    lengths = every.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if lengths is None:
-        return rows.sparkSession.createDataFrame([], empty)
-    every = every.where(F.size("v") == lengths["d"])
-    n = lengths["count"]
-    sample = every.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in every.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect():  # a row for each length that occurs
+        out = out.union(_search(every.where(F.size("v") == r["d"]), r["count"], is_query, k, target))
+    return out
+
+
+def _search(every: DataFrame, n: int, is_query, k: int, target: float) -> DataFrame:
+    """``search`` of n vectors of one length."""
+    leaves = max(1, min(MOST_LEAVES, n // LEAF))
+    sample = every.orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, leaves * PER_LEAF)).toArrow()
     x = matrix(sample.column("v"))
-    tree = fit(x, max(1, min(MOST_LEAVES, n // LEAF)))
+    tree = fit(x, leaves)
     n_leaves = int((tree["count"] == 0).sum())
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,24 +190,27 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
     placed = every.mapInArrow(dealt, "id long, v array<double>, leaf int")
     # calibration: where in each query's order of leaves do its true neighbours lie?
     test, test_ids = x[:CALIBRATION], sample.column("id").to_numpy()[:CALIBRATION]
+    held = np.zeros(n_leaves, np.int64)
+    for r in placed.groupBy("leaf").count().collect():  # a row for each leaf
+        held[r["leaf"]] = r["count"]
     truth = brute(every, test, test_ids, k).join(placed.select(F.col("id").alias("vec_id"), "leaf"), "vec_id").select("query_id", "leaf").collect()
-    place = {int(i): {leaf: r for r, leaf in enumerate(v)} for i, v in zip(test_ids, visits(test, tree, n_leaves), strict=True)}
+    place = {int(i): {leaf: r for r, leaf in enumerate(v)} for i, v in zip(test_ids, visits(test, tree, n_leaves, held, 0), strict=True)}
     ranks = np.sort([place[r["query_id"]][r["leaf"]] for r in truth])
     most = int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))))]) + 1 if len(ranks) else n_leaves
-    parts = {r["leaf"]: -(-r["count"] // PART) for r in placed.groupBy("leaf").count().collect()}
+    parts = -(-held // PART)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                to = [(i, leaf, p) for i, v in enumerate(visits(matrix(part.column(1)), tree, most)) for leaf in v for p in range(parts.get(leaf, 0))]
+                to = [(i, leaf, p) for i, v in enumerate(visits(matrix(part.column(1)), tree, most, held, k + 1)) for leaf in v for p in range(parts[leaf])]
                 i, leaf, p = (pa.array(c) for c in zip(*to, strict=True)) if to else (pa.array([], pa.int64()),) * 3
                 took = part.take(i.cast(pa.int64()))
                 yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), leaf.cast(pa.int32()), p.cast(pa.int32()), pa.array([True] * len(i), pa.bool_())], names=["id", "v", "leaf", "part", "asks"])
 
     asked = every.where(is_query(F.col("id"))).mapInArrow(walk, "id long, v array<double>, leaf int, part int, asks boolean")
-    of = F.element_at(F.create_map(*(F.lit(x) for kv in parts.items() for x in kv)), F.col("leaf"))
-    held = placed.select("id", "v", "leaf", F.pmod(F.xxhash64("id"), of).cast("int").alias("part"), F.lit(False).alias("asks"))
+    of = F.element_at(F.lit(parts.tolist()), F.col("leaf") + 1)
+    rows = placed.select("id", "v", "leaf", F.pmod(F.xxhash64("id"), of).cast("int").alias("part"), F.lit(False).alias("asks"))
 
     def meet(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
@@ -203,5 +219,5 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
         none = pa.RecordBatch.from_pylist([], schema=pa.schema([("query_id", pa.int64()), ("near", pa.list_(pa.struct([("loss", pa.float64()), ("vec_id", pa.int64()), ("score", pa.float64())])))]))
         return pa.Table.from_batches([none, *(packed(qi[at : at + 512], xi, top(q[at : at + 512], qi[at : at + 512], x, xi, k)) for at in range(0, len(q), 512))])
 
-    found = held.unionByName(asked).groupBy("leaf", "part").applyInArrow(meet, NEAR)
+    found = rows.unionByName(asked).groupBy("leaf", "part").applyInArrow(meet, NEAR)
     return _best(found, k)

@@ -10,8 +10,8 @@ The items' side is broadcast only if its grams were counted to be at most ``BROA
 distinct per document first. Word equality is equality of 64-bit hashes; a false hit needs ten of them to collide in a row
 (or, for shorter items, one joint hash).
 
-Null and empty texts have no words: no hits. Items without words are ignored. Repeated document ids share the union of
-their hits; null ids never hit. Repeated items each count. Only the id and text columns are read.
+Null and empty texts have no words: no hits. Items without words are ignored. Rows of one id have the hits of their own
+texts; null ids never hit. Repeated items each count. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.functions.storage import checkpointed
+
 WINDOW, GRAM = 10, 5
 BROADCAST_ROWS = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,7 +70,8 @@ def _fingerprints(rows: DataFrame, window: int, gram: int, placed: bool = False)
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Per row of ``docs``: id_col, n_words, n_hit, n_items, items_sha256 and contaminated."""
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
+    # rows are told apart by id and text, so that rows of one id keep their own hits
+    slim = docs.select(docs[id_col].alias("id"), F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).alias("tag"), docs[text_col].alias("t"))
     bench = items.select(items[item_col].cast("string").alias("item"), word_hashes(items[item_text_col]).alias("iw")).withColumn("n", F.size("iw"))
     long_items = bench.where(F.col("n") >= window)
     places = long_items.withColumn("g", grams("iw", GRAM)).select("item", "iw", "n", F.posexplode(_first(F.col("g"), F.col("n") - (GRAM - 1))).alias("q", "h"))
@@ -76,43 +79,43 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     small, short = (shape["n"] or 0) <= BROADCAST_ROWS, sorted(shape["short"])
     sized = F.broadcast if small else (lambda x: x)
 
-    def short_windows(rows: DataFrame, keep: list[str]) -> list[tuple[int, DataFrame]]:
-        return [(n, rows.withColumn("g", grams("w", n)).select(*keep, F.posexplode(_first(F.col("g"), F.size("w") - (n - 1))).alias("p", "h"))) for n in short]
-
-    hashed = slim.where("t is not null and id is not null").select("id", word_hashes(F.col("t")).alias("w"))
-    marked = _fingerprints(hashed, window, GRAM).select("id", F.explode_outer("fp").alias("h"))
-    found = marked.join(sized(places.select("h").distinct()), "h", "left_semi").select("id")
+    # one pass marks candidates: fingerprints, and whole windows of the short lengths, of one array of word hashes
+    hashed = _fingerprints(slim.where("t is not null and id is not null").select("id", "tag", word_hashes(F.col("t")).alias("w")), window, GRAM)
+    for n in short:
+        hashed = hashed.withColumn(f"g{n}", grams("w", n)).withColumn(f"g{n}", _first(F.col(f"g{n}"), F.size("w") - (n - 1)))
+    marked = hashed.select("id", "tag", F.explode(F.concat("fp", *(f"g{n}" for n in short))).alias("h"))
     whole = {n: bench.where(F.col("n") == n).select("item", grams("iw", n)[0].alias("h")) for n in short}
-    for n, rows in short_windows(hashed, ["id"]):
-        found = found.union(rows.select("id", "h").join(sized(whole[n].select("h").distinct()), "h", "left_semi").select("id"))
-    candidates = found.distinct().select(F.col("id").alias("cid"))
-
-    # every text once more, by id: all give their word counts, candidates their word hashes too
-    joined = slim.join(candidates, slim.id == candidates.cid, "left")
-    counted = joined.select("id", F.col("cid").isNotNull().alias("hot"), words(F.col("t")).alias("ws"))
-    counted = counted.select("id", "hot", F.size("ws").alias("n_words"), F.when(F.col("hot"), F.transform("ws", lambda x: F.xxhash64(x))).alias("w"))
-    again = slim.join(candidates, slim.id == candidates.cid, "left_semi").select("id", word_hashes(F.col("t")).alias("w"))
+    known = places.select("h")
+    for rows in whole.values():
+        known = known.union(rows.select("h"))
+    found = marked.join(sized(known.distinct()), "h", "left_semi").select(F.col("id").alias("cid"), F.col("tag").alias("ctag")).distinct()
+    candidates = checkpointed(found)
+    few = F.broadcast if candidates.count() <= BROADCAST_ROWS // 2 else (lambda x: x)
+
+    # candidates alone need their texts again; of all others the number of words is all that is left to say
+    again = slim.join(few(candidates), (slim.id == candidates.cid) & (slim.tag == candidates.ctag), "left_semi").select("id", "tag", word_hashes(F.col("t")).alias("w"))
     hits = _extended(again, places, sized, window)
-    for n, rows in short_windows(again, ["id"]):
-        hits = hits.union(rows.join(sized(whole[n]), "h").select("id", "item", F.col("p").cast("int").alias("start"), F.lit(n).alias("n")))
-    spans = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", F.expr("start + n").alias("end")))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    for n in short:
+        rows = again.withColumn("g", grams("w", n)).select("id", "tag", F.posexplode(_first(F.col("g"), F.size("w") - (n - 1))).alias("p", "h"))
+        hits = hits.union(rows.join(sized(whole[n]), "h").select("id", "tag", "item", F.col("p").cast("int").alias("start"), F.lit(n).alias("n")))
+    spans = hits.groupBy("id", "tag").agg(F.array_sort(F.collect_set(F.struct("start", F.expr("start + n").alias("end")))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     union = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda a, s: F.struct((a["n"] + F.greatest(s["end"] - F.greatest(s["start"], a["to"]), F.lit(0))).alias("n"), F.greatest(a["to"], s["end"]).alias("to")), lambda a: a["n"])
-    per = spans.select(F.col("id").alias("hid"), union.cast("long").alias("n_hit"), "items")
-    out = counted.select("id", "n_words").join(per, F.col("id") == F.col("hid"), "left")
-    n_hit, held = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    per = spans.select(F.col("id").alias("hid"), F.col("tag").alias("htag"), union.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("sha"))
+    out = slim.select("id", "tag", F.size(words(F.col("t"))).cast("long").alias("n_words")).join(few(per), (F.col("id") == F.col("hid")) & (F.col("tag") == F.col("htag")), "left")
     return out.select(
-        F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size(held).cast("long").alias("n_items"),
-        F.sha2(F.array_join(held, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
 
 def _extended(again: DataFrame, places: DataFrame, sized, window: int) -> DataFrame:
-    """(id, item, start, n) of every run of ``window`` words that the alignments of shared fingerprints extend to."""
-    rows = _fingerprints(again, window, GRAM, placed=True).select("id", F.explode_outer("fp").alias("s")).select("id", "s.h", "s.p")
-    pairs = rows.join(sized(places.select("item", "q", "h")), "h").select("id", "item", (F.col("p") - F.col("q")).alias("shift")).distinct()
-    texts = again.withColumnRenamed("id", "aid")
+    """(id, tag, item, start, n) of every run of ``window`` words that the alignments of shared fingerprints extend to."""
+    rows = _fingerprints(again, window, GRAM, placed=True).select("id", "tag", F.explode_outer("fp").alias("s")).select("id", "tag", "s.h", "s.p")
+    pairs = rows.join(sized(places.select("item", "q", "h")), "h").select("id", "tag", "item", (F.col("p") - F.col("q")).alias("shift")).distinct()
+    texts = again.withColumnsRenamed({"id": "aid", "tag": "atag"})
     side = places.select("item", "iw").where("q = 0").withColumnRenamed("item", "bitem")
-    both = pairs.join(sized(side), pairs.item == side.bitem).join(texts, F.col("id") == F.col("aid"))
+    both = pairs.join(sized(side), pairs.item == side.bitem).join(texts, (F.col("id") == F.col("aid")) & (F.col("tag") == F.col("atag")))
     dw, shift = F.col("w"), F.col("shift")
     equal = F.transform("iw", lambda x, j: F.coalesce(F.when(shift + j >= 0, F.get(dw, shift + j)) == x, F.lit(False)))
     run = F.aggregate(
@@ -121,8 +124,8 @@ def _extended(again: DataFrame, places: DataFrame, sized, window: int) -> DataFr
         lambda a, s: F.struct(F.when(s["e"], a["len"] + 1).otherwise(0).alias("len"), F.when(s["e"] & (a["len"] + 1 >= window), F.array_append(a["out"], s["j"] - (window - 1))).otherwise(a["out"]).alias("out")),
         lambda a: a["out"],
     )
-    runs = both.select("id", "item", "shift", equal.alias("eq")).select("id", "item", "shift", run.alias("js"))
-    return runs.select("id", "item", "shift", F.explode("js").alias("j")).select("id", "item", (F.col("shift") + F.col("j")).cast("int").alias("start"), F.lit(window).alias("n"))
+    runs = both.select("id", "tag", "item", "shift", equal.alias("eq")).select("id", "tag", "item", "shift", run.alias("js"))
+    return runs.select("id", "tag", "item", "shift", F.explode("js").alias("j")).select("id", "tag", "item", (F.col("shift") + F.col("j")).cast("int").alias("start"), F.lit(window).alias("n"))
 
 
 SQL = r"""

@@ -1,25 +1,13 @@
-"""Checkpoints in the cluster's shared folder, and connected components of a distributed edge table."""
+"""Connected components of a distributed edge table, over checkpoints in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.functions.storage import checkpointed
 
-def shared_folder(spark: SparkSession) -> str:
-    """The URI of the folder that driver and executors share; a local one only where spark.checkpoint.dir is unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the folder of spark.checkpoint.dir; one of our own only where none is set."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["checkpointed", "components", "fresh"]
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm.graph import shared_folder
+from tensorloom.functions.storage import scratch
 
 CHUNK, SMALLEST, LEVEL = 1 << 20, 100, 3
 END = b"\r\n\r\n"
@@ -37,7 +37,9 @@ def decisions(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     firsts = rows.where(F.octet_length("payload") >= SMALLEST).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select(F.col("digest").alias("d"), "first")
-    joined = rows.join(firsts, rows.digest == firsts.d, "left")
+    # short payloads meet nothing, so their rows are spread by id and not by a digest that many share
+    key = F.when(F.octet_length("payload") >= SMALLEST, F.col("digest")).otherwise(F.xxhash64("id", "url").cast("string"))
+    joined = rows.withColumn("key", key).join(firsts, F.col("key") == F.col("d"), "left")
     return joined.select("id", "url", "payload", "digest", F.when(F.col("first") < F.col("id"), F.col("first")).alias("refers_to"))
 
 
@@ -53,20 +55,31 @@ def _head(page: int | None, url: str | None, n: int, digest: str, refers: int |
     return "\r\n".join([*lines, "Content-Type: text/html; charset=utf-8", f"Content-Length: {n if refers is None else 0}"]).encode() + END
 
 
-def store_of(folder: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and path of a URI; Spark's s3a and s3n are s3."""
+#: Spark's settings of S3 stores, and what pyarrow calls them.
+S3 = {"access.key": "access_key", "secret.key": "secret_key", "session.token": "session_token", "endpoint": "endpoint_override", "endpoint.region": "region"}
+
+
+def store_options(spark: SparkSession) -> dict[str, str]:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return {theirs: v for ours, theirs in S3.items() if (v := conf.get(f"fs.s3a.{ours}"))}
+
+
+def store_of(folder: str, options: dict[str, str]) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a URI; Spark's s3a and s3n are s3, with Spark's own settings."""
+    if re.match(r"s3[an]?://", folder) and options:
+        return pafs.S3FileSystem(**options), folder.split("://", 1)[1]
     return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", folder))
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
     """Write archives below ``folder`` (a URI); gives their manifest (path, records) once it is computed."""
-    chunk = CHUNK
+    chunk, options = CHUNK, store_options(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        store, base = store_of(folder)
+        store, base = store_of(folder, options)
         store.create_dir(base, recursive=True)
         path = f"{base}/{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         n = 0
@@ -127,10 +140,10 @@ def chunk_rows(stream, chunk: int = CHUNK, payload: bool = True) -> Iterator[tup
 def read(manifest: DataFrame, folder: str, payload: bool = True) -> DataFrame:
     """The chunked record table (SCHEMA) of the archives in a manifest; without payload, chunks are null."""
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
-    names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+    names, options = [c.split(" ")[0] for c in SCHEMA.split(", ")], store_options(manifest.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = store_of(folder)
+        store, _ = store_of(folder, options)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with store.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=raw, mode="rb") as f:
@@ -149,10 +162,8 @@ def read(manifest: DataFrame, folder: str, payload: bool = True) -> DataFrame:
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
     """(id_col, payload_bytes, payload_digest, record_type, refers_to, intact) of each row, from archives written and read."""
-    from uuid import uuid4
-
     spark: SparkSession = pages.sparkSession
-    folder = f"{shared_folder(spark)}/warc-{uuid4().hex}"
+    folder = scratch(spark, "warc")
     manifest = write(pages, folder, id_col, payload_col).collect()  # one short row per partition
     files = spark.createDataFrame([(r["path"],) for r in manifest], "path string").repartition(max(1, len(manifest)))
     last = read(files, folder, payload=False).where("last")

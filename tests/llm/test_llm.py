@@ -243,7 +243,9 @@ def test_decontamination(spark, docs):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low))
     t = texts()
     items = [(1, t[6]), (2, "one two"), (3, None), (4, "?!"), (5, " ".join(t[11].split()[3:14])), (6, t[6])]
-    got = by_id(decontamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string")))
+    rows = decontamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert not any(n in rows._jdf.queryExecution().toString() for n in ("MapInArrow", "ArrowEvalPython", "BatchEvalPython"))
+    got = by_id(rows)
     for i, x in enumerate(t):
         w, hit, names = cut(x), set(), set()
         for name, y in items:
@@ -256,6 +258,18 @@ def test_decontamination(spark, docs):
         assert got[i] == (len(w), len(hit), len(names), sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)), i
 
 
+def test_decontamination_of_rows_that_share_an_id(spark, monkeypatch):
+    leak = " ".join(f"k{i}" for i in range(20))
+    rows = [(1, "a " + leak), (1, "b " * 30), (1, "a " + leak), (1, None), (2, "short tail"), (2, "tail"), (None, leak)]
+    want = sorted(str(x) for x in [(1, 21, 20, 1, True), (1, 21, 20, 1, True), (1, 30, 0, 0, False), (1, 0, 0, 0, False), (2, 2, 2, 1, True), (2, 1, 0, 0, False), (None, 20, 0, 0, False)])
+    items = spark.createDataFrame([(1, leak), (2, "SHORT, tail!")], "item_id long, text string")
+    for most in (decontamination.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", most)
+        for parts in (1, 3):
+            got = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), items)
+            assert sorted(str((r[0], r[1], r[2], r[3], r[5])) for r in got.collect()) == want
+
+
 def test_warc(spark, tmp_path):
     big = "<p>" + "é" * 3_000_000
     pages = [(1, "u", "short"), (2, "u", "short"), (3, None, "x" * 100), (4, "a b", "x" * 100), (5, "u", None), (6, "u", ""), (7, "u", big), (8, "u", big), (None, "u", "x" * 100)]
@@ -373,6 +387,7 @@ def test_ann(spark):
     x = rng.standard_normal((3000, 16))
     x[1000:2000] = x[1000]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, [1.0]), (9020, [None] * 16), (None, [1.0] * 16)]
+    rows += [(10000 + i, [float(i % 3), 1.0]) for i in range(30)]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), lambda i: i % 20 == 0).collect()
     hit = 0
     for i in range(0, 3000, 20):
@@ -381,8 +396,21 @@ def test_ann(spark):
         mine = sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])
         assert len(mine) == 20 and all(abs(r["score"] - s[r["vec_id"]]) < 1e-12 for r in mine)
         assert all((a["score"], -a["vec_id"]) > (b["score"], -b["vec_id"]) for a, b in zip(mine, mine[1:]))
+        assert all(r["vec_id"] < 3000 for r in mine)
         hit += len({r["vec_id"] for r in mine} & set(np.lexsort((np.arange(3000), -s))[:20].tolist()))
     assert hit / 3000 >= 0.9
+    # vectors of a rarer length are searched among themselves
+    short = {i: [float(i % 3), 1.0] for i in range(30)}
+    for i in (0, 20):
+        want = sorted((-(short[i][0] * v[0] + 1.0), j) for j, v in short.items() if j != i)[:20]
+        assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == 10000 + i), key=lambda r: r["rank"])] == [(n + 1, 10000 + j, -s) for n, (s, j) in enumerate(want)]
+
+
+def test_ann_visits_until_enough_rows_are_seen(spark):
+    """Leaves of few rows: every query still gets as many neighbours as there are."""
+    tree = {"centres": np.eye(4)[[0, 0, 1, 2]], "child": np.array([1, 0, 0, 0]), "count": np.array([3, 0, 0, 0]), "leaf": np.array([-1, 0, 1, 2])}
+    assert ann.visits(np.eye(4)[:1], tree, 1, np.array([2, 5, 50]), 1) == [[0]]
+    assert [len(v) for v in ann.visits(np.eye(4)[:1], tree, 1, np.array([2, 5, 50]), 8)] == [3]
 
 
 def test_empty_tables(spark):

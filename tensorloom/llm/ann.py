@@ -126,42 +126,62 @@ def valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return slim.where(fine)
 
 
-NEAR = "query_id long, near array<struct<loss double, vec_id long, score double>>"
+FOUND = "query_id long, vec_id long, score double"
+#: Candidates of a block of queries in one row, for the way from a leaf to the merge in the same task.
+PACKED = "query_ids binary, vec_ids binary, scores binary"
+#: Candidates that a task holds at once before it hands on the best of them.
+HELD = 1 << 20
 
 
-def packed(q_ids: np.ndarray, ids: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    """What ``top`` found, one row of NEAR for each query; loss is the score negated, so that rows sort as ranks do."""
-    i, j, s = found
-    near = pa.StructArray.from_arrays([pa.array(-s.astype(float)), pa.array(ids[j.astype(int)], pa.int64()), pa.array(s.astype(float))], names=["loss", "vec_id", "score"])
-    cuts = np.searchsorted(i, np.arange(len(q_ids) + 1))
-    return pa.RecordBatch.from_arrays([pa.array(q_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), near)], names=["query_id", "near"])
+def cut(q: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of each query, in order."""
+    order = np.lexsort((ids, -s, q))
+    q, ids, s = q[order], ids[order], s[order]
+    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[best], ids[best], s[best]
+
+
+def found_batch(q: np.ndarray, ids: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+
+
+def cut_in_task(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    """Candidates of one task, cut to the k best of each query as far as ``HELD`` of them show."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n > HELD:
+            held = [cut(*map(np.concatenate, zip(*held, strict=True)), k)]
+            n = len(held[0][0])
+            if n > HELD // 2:
+                yield found_batch(*held[0])
+                held, n = [], 0
+    if held:
+        yield found_batch(*cut(*map(np.concatenate, zip(*held, strict=True)), k))
 
 
 def brute(rows: DataFrame, q: np.ndarray, q_ids: np.ndarray, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) of the exact k best of all rows for a bounded set of queries; a partition keeps its best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        i, best, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        for batch in batches:
-            for at in range(0, batch.num_rows, PART):
-                part = batch.slice(at, PART)
-                ids = part.column(0).to_numpy()
-                n, j, found = top(q, q_ids, matrix(part.column(1)), ids, k)
-                i, best, s = np.r_[i, n.astype(np.int64)], np.r_[best, ids[j.astype(int)]], np.r_[s, found]
-                order = np.lexsort((best, -s, i))
-                i, best, s = i[order], best[order], s[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                i, best, s = i[place < k], best[place < k], s[place < k]
-        if len(i):
-            yield packed(q_ids, best, (i, np.arange(len(i)), s))
+        def parts():
+            for batch in batches:
+                for at in range(0, batch.num_rows, PART):
+                    part = batch.slice(at, PART)
+                    ids = part.column(0).to_numpy()
+                    i, j, s = top(q, q_ids, matrix(part.column(1)), ids, k)
+                    yield q_ids[i.astype(int)], ids[j.astype(int)], s.astype(float)
+
+        yield from cut_in_task(parts(), k)
 
-    return _best(rows.mapInArrow(run, NEAR), k)
+    return _best(rows.mapInArrow(run, FOUND), k)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query's lists, cut to k in every partition before they are shuffled."""
-    by_query = Window.partitionBy("query_id").orderBy("loss", "vec_id")
-    out = found.select("query_id", F.inline("near")).withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+    """The k best candidates of each query; Spark cuts to k in every partition before it shuffles."""
+    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
 
 
@@ -216,8 +236,15 @@ def _search(every: DataFrame, n: int, is_query, k: int, target: float) -> DataFr
         asks = table.column("asks").to_numpy()
         ids, v = table.column("id").to_numpy(), matrix(table.column("v"))
         q, x, qi, xi = v[asks], v[~asks], ids[asks], ids[~asks]
-        none = pa.RecordBatch.from_pylist([], schema=pa.schema([("query_id", pa.int64()), ("near", pa.list_(pa.struct([("loss", pa.float64()), ("vec_id", pa.int64()), ("score", pa.float64())])))]))
-        return pa.Table.from_batches([none, *(packed(qi[at : at + 512], xi, top(q[at : at + 512], qi[at : at + 512], x, xi, k)) for at in range(0, len(q), 512))])
-
-    found = rows.unionByName(asked).groupBy("leaf", "part").applyInArrow(meet, NEAR)
-    return _best(found, k)
+        out = []
+        for at in range(0, len(q), 512):
+            i, j, scores = top(q[at : at + 512], qi[at : at + 512], x, xi, k)
+            out.append((qi[at : at + 512][i.astype(int)].tobytes(), xi[j.astype(int)].tobytes(), scores.astype(float).tobytes()))
+        return pa.table([pa.array(c, pa.binary()) for c in (zip(*out, strict=True) if out else ([], [], []))], names=["query_ids", "vec_ids", "scores"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        yield from cut_in_task(((np.frombuffer(i, np.int64), np.frombuffer(j, np.int64), np.frombuffer(s, np.float64)) for i, j, s in rows), k)
+
+    # a task's leaves are merged before they are shuffled by query
+    return _best(rows.unionByName(asked).groupBy("leaf", "part").applyInArrow(meet, PACKED).mapInArrow(merged, FOUND), k)

@@ -406,6 +406,20 @@ def test_ann(spark):
         assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == 10000 + i), key=lambda r: r["rank"])] == [(n + 1, 10000 + j, -s) for n, (s, j) in enumerate(want)]
 
 
+def test_cut_in_task_keeps_the_best(monkeypatch):
+    rng = np.random.default_rng(3)
+    parts = [(rng.integers(0, 50, 300), rng.integers(0, 10**6, 300), rng.integers(0, 40, 300) / 4.0) for _ in range(20)]
+    whole = [np.concatenate(c) for c in zip(*parts)]
+    want = sorted(zip(*(c.tolist() for c in ann.cut(*whole, 7))))
+    for held in (ann.HELD, 600):
+        monkeypatch.setattr(ann, "HELD", held)
+        out = [b.to_pydict() for b in ann.cut_in_task(iter(parts), 7)]
+        flat = [np.concatenate([b[c] for b in out]) for c in ("query_id", "vec_id", "score")]
+        assert sorted(zip(*(c.tolist() for c in ann.cut(*flat, 7)))) == want and len(flat[0]) < 6000
+    by_hand = sorted(zip(*whole), key=lambda r: (r[0], -r[2], r[1]))
+    assert [r for q in range(50) for r in [x for x in by_hand if x[0] == q][:7]] == [tuple(r) for r in zip(*ann.cut(*whole, 7))]
+
+
 def test_ann_visits_until_enough_rows_are_seen(spark):
     """Leaves of few rows: every query still gets as many neighbours as there are."""
     tree = {"centres": np.eye(4)[[0, 0, 1, 2]], "child": np.array([1, 0, 0, 0]), "count": np.array([3, 0, 0, 0]), "leaf": np.array([-1, 0, 1, 2])}

@@ -9,6 +9,7 @@ them are matrix products over Arrow batches, as such long expressions cost more
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +26,17 @@ CUTOFF = 1e-11
 SMALL_RANK = 8
 
 
+@contextmanager
+def broadcasting(cells: int):
+    """Plans made inside broadcast no factor of more numbers than this."""
+    global BROADCAST_CELLS
+    before, BROADCAST_CELLS = BROADCAST_CELLS, cells
+    try:
+        yield
+    finally:
+        BROADCAST_CELLS = before
+
+
 def few(cells: int) -> bool:
     """Whether so many numbers may be on the driver and travel to every executor."""
     return cells <= BROADCAST_CELLS
@@ -141,6 +153,12 @@ def normalized(factor: DataFrame, rank: int) -> tuple[DataFrame, np.ndarray]:
     return divided(factor, size), size
 
 
+def unit_columns(model: Kruskal) -> Kruskal:
+    """The same model with factors of unit columns: what lengths they had goes into its weights."""
+    made = [normalized(f, model.rank) for f in model.factors]
+    return Kruskal([f for f, _ in made], model.sigma * np.prod([n for _, n in made], axis=0), model.dims)
+
+
 def quadratic(factor: DataFrame, m: np.ndarray, name: str = "score") -> DataFrame:
     """(idx, u m u'): with m = pinv(U'U) the leverage scores."""
     rank, u = len(m), F.col("u")
@@ -262,7 +280,10 @@ def fit(t: Tensor, model: Kruskal, grams: list[np.ndarray] | None = None, size:
 
 
 def krp(a: DataFrame, b: DataFrame, rank: int) -> DataFrame:
-    """(i0, i1, u): elementwise products of all pairs of rows; what a Khatri-Rao product is, for small factors only."""
+    """(i0, i1, u): elementwise products of all pairs of rows; what a Khatri-Rao product is, for small factors only.
+
+    Products with tensors never make it; it is as many rows as both factors' rows multiplied.
+    """
     pairs = a.select(F.col("idx").alias("i0"), F.col("u").alias("x")).crossJoin(b.select(F.col("idx").alias("i1"), F.col("u").alias("y")))
     return pairs.select("i0", "i1", F.array(*(F.col("x")[r] * F.col("y")[r] for r in range(rank))).alias("u"))
 

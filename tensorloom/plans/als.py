@@ -13,7 +13,7 @@ from contextlib import contextmanager
 
 import numpy as np
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.functions.storage import checkpointed
@@ -175,6 +175,14 @@ def write_model(model: Kruskal, path: str) -> None:
     spark.createDataFrame([(r, float(s)) for r, s in enumerate(model.sigma)], "r int, sigma double").coalesce(1).write.parquet(f"{path}/sigma")
 
 
-def write_trace(spark, trace: Iterable[dict], path: str, **about: str) -> None:
+def read_model(spark: SparkSession, path: str) -> Kruskal:
+    """A model that ``write_model`` wrote, from as many modes as its folder has."""
+    rows = spark.read.parquet(f"{path}/sigma").orderBy("r").collect()  # one row per component
+    whole = spark.read.option("basePath", path).parquet(f"{path}/mode=*")
+    sizes = whole.groupBy("mode").agg((F.max("idx") + 1).alias("n")).orderBy("mode").collect()  # one row per mode
+    return Kruskal([spark.read.parquet(f"{path}/mode={r['mode']}") for r in sizes], np.array([r["sigma"] for r in rows]), [r["n"] for r in sizes])
+
+
+def write_trace(spark: SparkSession, trace: Iterable[dict], path: str, **about) -> None:
     """The trace as JSON lines, with what describes the run in every row."""
     spark.createDataFrame([row | about for row in trace]).coalesce(1).write.mode("append").json(path)

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PHASES = {"gather": ["allgather"], "reduce": ["reduce_scatter"], "sampling": ["sampling"], "product": ["mttkrp"], "post": ["solve", "refresh"]}
-
-
 def load_runs(spark: SparkSession, path: str, **equal) -> DataFrame:
     """Run documents (JSON lines or files) below a folder, with equality filters on their fields."""
     out = spark.read.json(path)
@@ -24,6 +21,16 @@ def next_trial(runs: DataFrame, **equal) -> int:
     return 0 if last is None else last + 1
 
 
+def missing_trials(runs: DataFrame | None, wanted: int, **equal) -> list[int]:
+    """Which of the trials 0.. of runs with these fields are not there yet, gaps included."""
+    if runs is None or "trial" not in runs.columns:
+        return list(range(wanted))
+    for k, v in equal.items():
+        runs = runs.where(F.col(k) == F.lit(v)) if k in runs.columns else runs.limit(0)
+    seen = {int(r[0]) for r in runs.where(F.col("trial").cast("int") < wanted).select(F.col("trial").cast("int")).distinct().collect()}  # at most ``wanted`` rows
+    return [n for n in range(wanted) if n not in seen]
+
+
 def mean_phases(runs: DataFrame, keys: list[str], phases: list[str]) -> DataFrame:
     return runs.groupBy(*keys).agg(*(F.avg(p).alias(p) for p in phases))
 
@@ -85,6 +92,23 @@ def parse_trace(lines: DataFrame) -> DataFrame:
     return rows.withColumn("elapsed", F.sum("seconds").over(Window.orderBy("its")))
 
 
+def parse_traces(texts: DataFrame, key: str, marker: str | None = None) -> DataFrame:
+    """(key, segment, rank, its, seconds, fit, elapsed) from whole trace files (key, value).
+
+    Lines of 64 asterisks or more cut a file into segments, of which those with ``marker`` in them count; NFACTORS=n in a
+    segment names its rank. elapsed sums the seconds of a segment.
+    """
+    parts = texts.select(key, F.posexplode(F.split("value", r"\*{64,}")).alias("segment", "part"))
+    if marker:
+        parts = parts.where(F.contains("part", F.lit(marker)))
+    found = F.regexp_extract_all("part", F.lit(r"(its\s*=\s*\d+\s*\([\d.]+s\)\s*fit\s*=\s*[-\d.]+)"), F.lit(1))
+    rank = F.try_element_at(F.regexp_extract_all("part", F.lit(r"NFACTORS=(\d+)"), F.lit(1)), F.lit(1)).cast("int")
+    rows = parts.select(key, "segment", rank.alias("rank"), F.explode(found).alias("value"))
+    get = lambda p: F.regexp_extract("value", p, 1)
+    rows = rows.select(key, "segment", "rank", get(r"its\s*=\s*(\d+)").cast("int").alias("its"), get(r"\(([\d.]+)s\)").cast("double").alias("seconds"), get(r"fit\s*=\s*([-\d.]+)").cast("double").alias("fit"))
+    return rows.withColumn("elapsed", F.sum("seconds").over(Window.partitionBy(key, "segment").orderBy("its")))
+
+
 def final_fits(runs: DataFrame, key: str) -> DataFrame:
     """Quartiles of final fits, for box plots."""
     return runs.groupBy(key).agg(F.sort_array(F.collect_list("best")).alias("fits"), F.percentile("best", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("quartiles"))

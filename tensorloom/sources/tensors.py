@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import mul
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,6 +104,30 @@ def read_temporal_edges(spark: SparkSession, path: str, years_from: int = 0) ->
     return temporal_modes(lines.select(F.col("x")[0].cast("long").alias("u"), F.col("x")[1].cast("long").alias("v"), F.timestamp_seconds(F.col("x")[3].cast("long")).alias("ts")), "ts", years_from)
 
 
+def edges_to_coordinates(spark: SparkSession, edges: str, path: str, years_from: int = 2000) -> None:
+    """A temporal edge list written as coordinate text: vertices, year, month, day and the value 1."""
+    read_temporal_edges(spark, edges, years_from).select(F.concat_ws(" ", *(F.col(c).cast("string") for c in ("u", "v", "year", "month", "day")), F.lit("1"))).write.text(path)
+
+
+def packet_times(df: DataFrame, archive: str, slot: str, per_archive: int = 64) -> DataFrame:
+    """Adds time, one step for each matrix of an archive of ``per_archive`` of them."""
+    return df.withColumn("time", F.col(archive).cast("long") * per_archive + F.col(slot).cast("long"))
+
+
+def low_rank(spark: SparkSession, dims: list[int], rank: int, seed: int = 1, heavy: float = 0.1, times: float = 8.0) -> Tensor:
+    """A dense tensor of known rank: entries of factors uniform in [-0.5, 0.5), a share of heavy rows ``times`` as large.
+
+    For convergence tests: it has as many rows as cells.
+    """
+    cells: DataFrame | None = None
+    for k, n in enumerate(dims):
+        scale = F.when(uniform(seed, f"heavy{k}", F.col("id")) < heavy, F.lit(times)).otherwise(F.lit(1.0))
+        rows = spark.range(n).select(F.col("id").alias(f"i{k}"), F.array(*((uniform(seed, f"{k}.{r}", F.col("id")) - 0.5) * scale for r in range(rank))).alias(f"u{k}"))
+        cells = rows if cells is None else cells.crossJoin(F.broadcast(rows))
+    value = sum((reduce(mul, (F.col(f"u{k}")[r] for k in range(len(dims)))) for r in range(1, rank)), reduce(mul, (F.col(f"u{k}")[0] for k in range(len(dims)))))
+    return Tensor(cells.select(*(f"i{k}" for k in range(len(dims))), value.alias("v")), list(dims))
+
+
 def temporal_modes(df: DataFrame, ts: str, years_from: int = 0) -> DataFrame:
     """A time stamp split into year, month and day modes, with value 1 (the session's time zone counts; use UTC)."""
     cols = [c for c in df.columns if c != ts]

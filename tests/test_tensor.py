@@ -171,11 +171,46 @@ def test_models_traces_and_catalog(spark, tmp_path):
         als.write_trace(spark, [{"round": 0, "fit": 0.25, "seconds": 0.0}, {"round": 1, "fit": 0.5, "seconds": 1.0}], str(tmp_path / "runs"), algorithm="tree", trial=str(trial))
     runs = analysis.load_runs(spark, str(tmp_path / "runs"), algorithm="tree", round=1)
     assert [r["fit"] for r in runs.collect()] == [0.5, 0.5]
+    back = als.read_model(spark, str(tmp_path / "m"))
+    assert back.dims == m.dims and np.array_equal(back.sigma, m.sigma) and np.array_equal(array(back.factors[2], 3, 3), array(m.factors[2], 3, 3))
+    assert analysis.missing_trials(runs, 4, algorithm="tree") == [2, 3] and analysis.missing_trials(runs, 2, algorithm="exact") == [0, 1] and analysis.missing_trials(None, 1) == [0]
     assert analysis.next_trial(runs) == 2 and analysis.next_trial(runs, algorithm="exact") == 0
     with pytest.raises(ValueError):
         catalog.load(spark, SF, "none such")
 
 
+def test_command_line(spark, tmp_path):
+    """Trials that are there are not run again; the trace says what each phase took and how many nonzeros were met."""
+    import tensorloom.__main__ as cli
+
+    given = ["--tensor", "synthetic:40:5", "--rank", "2", "--rounds", "2", "--epoch", "1", "--output", str(tmp_path / "runs"), "--model", str(tmp_path / "m")]
+    assert cli.main([*given, "--repetitions", "1"], spark) == [0] and cli.main([*given[:-2], "--repetitions", "3"], spark) == [1, 2]
+    assert cli.main([*given[:-2], "--repetitions", "3"], spark) == []
+    assert cli.main([*given[:-2], "--algorithm", "tree", "--draws", "50"], spark) == [0]
+    runs = analysis.load_runs(spark, str(tmp_path / "runs"))
+    assert runs.count() == 12 and runs.where("round > 0 and algorithm = 'exact'").select("nonzeros").distinct().count() == 1
+    assert runs.where("round > 0 and algorithm = 'tree' and sampling > 0 and refresh > 0 and nonzeros > 0").count() == 2
+    assert als.read_model(spark, str(tmp_path / "m")).dims == [40, 40, 40]
+    assert catalog_names() == sorted(["nation_segment_month_priority", "part_supplier_month", "supplier_part_date", "user_type_hour_day"])
+    assert cli.main(["--tensor", "user_type_hour_day", "--folder", SF, "--rank", "2", "--rounds", "1"], spark) == [0]
+    with pytest.raises(SystemExit):
+        cli.arguments(["--rank", "2"])
+
+
+def catalog_names():
+    from tensorloom.sources import catalog
+
+    return sorted(catalog.CATALOG)
+
+
+def test_decomposition_finds_a_planted_model(spark):
+    t = ts.low_rank(spark, [30, 20, 10], 2, 5).cache()
+    assert t.df.count() == 6000 and als.decompose(t, 2, 12, seed=3)[1][-1]["fit"] > 0.95
+    for how in ("product", "tree"):
+        fits = [r["fit"] for r in als.decompose(t, 2, 12, how, draws=3000, seed=3)[1]]
+        assert fits[-1] > 0.7 and fits[-1] > fits[1] > fits[0], fits
+
+
 def test_analysis(spark):
     lines = spark.createDataFrame([("its = 1 (0.5s) fit = 0.25",), ("noise",), ("its = 2 (0.25s) fit = 0.5",)], "value string")
     assert [tuple(r) for r in analysis.parse_trace(lines).orderBy("its").collect()] == [(1, 0.5, 0.25, 0.5), (2, 0.25, 0.5, 0.75)]

@@ -83,7 +83,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hashed = _fingerprints(slim.where("t is not null and id is not null").select("id", "tag", word_hashes(F.col("t")).alias("w")), window, GRAM)
     for n in short:
         hashed = hashed.withColumn(f"g{n}", grams("w", n)).withColumn(f"g{n}", _first(F.col(f"g{n}"), F.size("w") - (n - 1)))
-    marked = hashed.select("id", "tag", F.explode(F.concat("fp", *(f"g{n}" for n in short))).alias("h"))
+    # outer: an inner one has a filter inferred that makes the arrays of every row once more, before any join
+    marked = hashed.select("id", "tag", F.explode_outer(F.concat("fp", *(f"g{n}" for n in short))).alias("h"))
     whole = {n: bench.where(F.col("n") == n).select("item", grams("iw", n)[0].alias("h")) for n in short}
     known = places.select("h")
     for rows in whole.values():
@@ -96,7 +97,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     again = slim.join(few(candidates), (slim.id == candidates.cid) & (slim.tag == candidates.ctag), "left_semi").select("id", "tag", word_hashes(F.col("t")).alias("w"))
     hits = _extended(again, places, sized, window)
     for n in short:
-        rows = again.withColumn("g", grams("w", n)).select("id", "tag", F.posexplode(_first(F.col("g"), F.size("w") - (n - 1))).alias("p", "h"))
+        rows = again.withColumn("g", grams("w", n)).select("id", "tag", F.posexplode_outer(_first(F.col("g"), F.size("w") - (n - 1))).alias("p", "h"))
         hits = hits.union(rows.join(sized(whole[n]), "h").select("id", "tag", "item", F.col("p").cast("int").alias("start"), F.lit(n).alias("n")))
     spans = hits.groupBy("id", "tag").agg(F.array_sort(F.collect_set(F.struct("start", F.expr("start + n").alias("end")))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     union = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda a, s: F.struct((a["n"] + F.greatest(s["end"] - F.greatest(s["start"], a["to"]), F.lit(0))).alias("n"), F.greatest(a["to"], s["end"]).alias("to")), lambda a: a["n"])
@@ -125,7 +126,7 @@ def _extended(again: DataFrame, places: DataFrame, sized, window: int) -> DataFr
         lambda a: a["out"],
     )
     runs = both.select("id", "tag", "item", "shift", equal.alias("eq")).select("id", "tag", "item", "shift", run.alias("js"))
-    return runs.select("id", "tag", "item", "shift", F.explode("js").alias("j")).select("id", "tag", "item", (F.col("shift") + F.col("j")).cast("int").alias("start"), F.lit(window).alias("n"))
+    return runs.select("id", "tag", "item", "shift", F.explode_outer("js").alias("j")).where("j is not null").select("id", "tag", "item", (F.col("shift") + F.col("j")).cast("int").alias("start"), F.lit(window).alias("n"))
 
 
 SQL = r"""

@@ -123,13 +123,22 @@ def als_step(spark, d):
     return cells(m.factors[0])
 
 
+def _trace_of(t: ts.Tensor, *args, **kw) -> list[dict]:
+    """The trace of a decomposition of ``t``, cached as long as that runs."""
+    t = t.cache()
+    try:
+        return als.decompose(t, *args, **kw)[1]
+    finally:
+        t.df.unpersist()
+
+
 def als_exact(spark, d):
-    trace = als.decompose(psm(spark, d).cache(), 4, 3, init="gaussian", seed=3)[1]
+    trace = _trace_of(psm(spark, d), 4, 3, init="gaussian", seed=3)
     return frame(spark, [(r["round"], round(r["fit"], 5)) for r in trace], "round int, fit double")
 
 
 def als_sampled(spark, d, algorithm="product"):
-    trace = als.decompose(psm(spark, d).cache(), 4, 2, algorithm, draws=2000, seed=3, warm_start=True)[1]
+    trace = _trace_of(psm(spark, d), 4, 2, algorithm, draws=2000, seed=3, warm_start=True)
     return frame(spark, [(r["round"], round(r["fit"], 5)) for r in trace], "round int, fit double")
 
 
